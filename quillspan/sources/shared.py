@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,29 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "file:///tmp/checkpoints/quillspan"
 
 
+ARROW_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each application; executors fetch it from the driver.
+
+    Texts are long, so Arrow batches are held to ``ARROW_ROWS`` rows.
+    """
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if getattr(context, "_quillspan_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp()) / "quillspan.zip"
+    path.write_bytes(held.getvalue())
+    context.addPyFile(str(path))
+    context._quillspan_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder, read by Spark alone (any path that Spark can open)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
