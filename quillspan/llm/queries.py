@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bpe, near_dup, quality, toxicity
+from quillspan.llm import bpe, near_dup, png, quality, toxicity
 from quillspan.sources.shared import table
 
 
@@ -16,6 +16,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in a binary column: digests of what is read back, and the image's hash."""
+    return png.media_table(table(spark, sf_dir, "documents")).drop("media")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +38,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_media": op3_media,
     "op4_bpe": op4_bpe,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
