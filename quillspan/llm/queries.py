@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import ann, bpe, near_dup, png, quality, toxicity, warc
+from quillspan.llm import ann, bpe, near_dup, pii, png, quality, toxicity, warc
 from quillspan.sources.shared import table
 
 
@@ -32,6 +32,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document: the base kinds, and terms that disclose protected entities."""
+    return pii.spans(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest other vectors of every vector whose id is divisible by 20."""
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_media": op3_media,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op6_nearest": op6_nearest,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
