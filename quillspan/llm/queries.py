@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import ann, bpe, near_dup, pii, png, quality, toxicity, warc
+from quillspan.llm import ann, bpe, mixing, near_dup, pii, png, quality, toxicity, warc
 from quillspan.sources.shared import table
 
 
@@ -42,6 +43,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weight, inclusion probability and draw of every document."""
+    rows = mixing.weigh(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, with its fold."""
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,12 +66,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_nearest": op6_nearest,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
 #: DuckDB SQL where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.oracle(),
     "op2_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
