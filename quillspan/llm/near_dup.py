@@ -27,6 +27,8 @@ from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 SLOTS, BAND_ROWS, SHINGLE, SIMILARITY = 128, 4, 5, 0.8
 #: Leader rounds before the remaining pairs of different components are compared one by one.
 LEADER_ROUNDS = 3
+#: Pairs whose shingles a task holds at a time.
+PAIRS_AT_ONCE = 256
 #: Rows of 8-byte ids that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -93,7 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sum(min) / sum(max) over the shingles of ``text_a`` and ``text_b``."""
-    for batch in batches:
+    for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, len(b), PAIRS_AT_ONCE)):
         n = len(batch)
         both = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).dictionary_encode()
         code = both.indices.to_numpy()
