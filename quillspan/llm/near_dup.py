@@ -156,10 +156,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             pairs = placed.join(lead, "band").where("component <> of")
             pairs = pairs.select(F.least("class_id", "lead").alias("a"), F.greatest("class_id", "lead").alias("b")).distinct()
         else:
-            left = placed.join(mixed.select("band"), "band")
-            one = left.select("band", F.col("class_id").alias("a"), F.col("component").alias("ca"))
-            two = left.select("band", F.col("class_id").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
+            # A pair is named once, in the least bucket that both share.
+            left = placed.join(mixed.select("band"), "band").join(first.select("class_id", "bands"), "class_id")
+            one = left.select("band", F.col("class_id").alias("a"), F.col("component").alias("ca"), F.col("bands").alias("of_a"))
+            two = left.select("band", F.col("class_id").alias("b"), F.col("component").alias("cb"), F.col("bands").alias("of_b"))
+            pairs = one.join(two, "band").where("a < b AND ca <> cb AND array_min(array_intersect(of_a, of_b)) = band").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         scored = materialise(spark, overlaps(spark, texts, pairs), "scored")
