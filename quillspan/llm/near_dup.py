@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import textvec as tv
@@ -25,8 +25,8 @@ from quillspan.operators.components import connected_components
 from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 
 SLOTS, BAND_ROWS, SHINGLE, SIMILARITY = 128, 4, 5, 0.8
-#: Leader rounds before the remaining pairs of different components are compared one by one.
-LEADER_ROUNDS = 3
+#: Leader rounds before prefix filtering looks for links between the components that still share buckets.
+LEADER_ROUNDS = 2
 #: Pairs whose shingles a task holds at a time.
 PAIRS_AT_ONCE = 256
 #: Rows of 8-byte ids that may be broadcast; beyond it the join shuffles.
@@ -121,6 +121,36 @@ def overlaps(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, similarity double")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last, data, offsets in tv.chunks(batch.column("text")):
+            row, value, count = tv.multiset(*tv.shingles(data, offsets, SHINGLE))
+            size = np.bincount(row, count, minlength=last - first).astype(np.int64)
+            at = pa.array(row + first)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("component").take(at), pa.array(value.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(size[row].astype(np.int32))], ["id", "component", "token", "n", "size"])
+
+
+def prefix_pairs(spark: SparkSession, texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of ``left`` in different components that can reach ``similarity``, by prefix filtering.
+
+    Tokens are ordered from rare to frequent. A partner leaves at most ``1 - similarity`` of a text's weight unmatched, so
+    the first common token of a linked pair has at most that weight before it, in both texts. Texts with more than that
+    in tokens of their own have no partner and name none, however large their bucket is.
+    """
+    tokens = materialise(spark, texts.join(left, "id").select("id", "component", "text").mapInArrow(_tokens, "id long, component long, token long, n int, size int"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = tokens.join(often, "token")
+    mine = Window.partitionBy("id")
+    before = mine.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn("before", F.col("size") - F.sum("n").over(mine) + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    prefix = known.where(F.col("before") <= (1 - similarity) * F.col("size") + 1e-9).select("token", "id", "component", "size", "before")
+    prefix = materialise(spark, prefix, "prefix")
+    one, two = (prefix.select("token", F.col("id").alias(x), F.col("component").alias("c" + x), F.col("size").alias("s" + x), (F.col("size") - F.col("before")).alias("r" + x)) for x in "ab")
+    # What is left from the first common token on must hold the overlap that the similarity asks for.
+    fits = F.least("ra", "rb") >= similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9
+    return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: ``doc_id, class_id`` (least id with this text), ``group_id`` (least id of all texts
     that links of at least ``similarity`` join to it), ``n_links`` (verified links of its text to other texts).
@@ -128,8 +158,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     1. One pass hashes every text into band keys; equal texts collapse to a class by an aggregate.
     2. Each bucket names a leader, another one in each round; members outside the leader's component are compared with
        it, exactly. That joins all but stray members of a group at a cost linear in the group.
-    3. Whatever pairs of a bucket still lie in different components are then compared one by one, so no link between
-       components that share a bucket is lost. Links inside a component cannot change the result.
+    3. Among the members of buckets that still hold different components, prefix filtering names every pair of different
+       components that can reach ``similarity``, and those are compared, so no link between components is lost. Links
+       inside a component cannot change the result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = base.withColumn("key", F.md5("text"))
@@ -156,11 +187,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             pairs = placed.join(lead, "band").where("component <> of")
             pairs = pairs.select(F.least("class_id", "lead").alias("a"), F.greatest("class_id", "lead").alias("b")).distinct()
         else:
-            # A pair is named once, in the least bucket that both share.
-            left = placed.join(mixed.select("band"), "band").join(first.select("class_id", "bands"), "class_id")
-            one = left.select("band", F.col("class_id").alias("a"), F.col("component").alias("ca"), F.col("bands").alias("of_a"))
-            two = left.select("band", F.col("class_id").alias("b"), F.col("component").alias("cb"), F.col("bands").alias("of_b"))
-            pairs = one.join(two, "band").where("a < b AND ca <> cb AND array_min(array_intersect(of_a, of_b)) = band").select("a", "b").distinct()
+            left = placed.join(mixed.select("band"), "band").groupBy(F.col("class_id").alias("id")).agg(F.min("component").alias("component"))
+            pairs = prefix_pairs(spark, texts, materialise(spark, left, "left"), similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         scored = materialise(spark, overlaps(spark, texts, pairs), "scored")
