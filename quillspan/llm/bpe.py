@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a memo before it starts anew.
-MEMO = 200_000
+MEMO = 500_000
+#: Fragments up to this many symbols merge without a heap; a rank that no pair has.
+SHORT, NEVER = 24, 1 << 60
+BEYOND = regex.compile(r"[^\u0000-\u058f]").search
 
 _loaded: dict[str, Encoder] = {}
 
@@ -57,7 +61,8 @@ class Encoder:
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]")).findall
-        self.normalise = Tokenizer.from_str(layout).normalizer.normalize_str
+        self.whole = Tokenizer.from_str(layout).normalizer.normalize_str
+        self.plain = [s["type"] for s in spec["normalizer"].get("normalizers", [spec["normalizer"]])] == ["NFC", "Replace", "Lowercase"]
         self.inside = self._inside()
         self.memo: dict[str, tuple[str, str, int]] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
@@ -81,6 +86,32 @@ class Encoder:
         parts: list[str | None] = list(fragment)
         if ends:
             parts[-1] += self.suffix
+        if len(parts) <= SHORT:
+            self._merge_short(parts)
+        else:
+            self._merge_long(parts)
+        ids = tuple([self.vocab[p] for p in parts if p is not None and p in self.vocab])
+        if len(self.fragments) >= MEMO:
+            self.fragments.clear()
+        if len(fragment) <= 64:
+            self.fragments[fragment, ends] = ids
+        return ids
+
+    def _merge_short(self, parts: list[str]) -> None:
+        """Quadratic in the fragment, which is faster than a heap for a few symbols."""
+        rank = self.ranks.get
+        found = [rank(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
+        while found and (low := min(found)) < NEVER:
+            k = found.index(low)
+            parts[k] += parts.pop(k + 1)
+            del found[k]
+            if k:
+                found[k - 1] = rank((parts[k - 1], parts[k]), NEVER)
+            if k < len(found):
+                found[k] = rank((parts[k], parts[k + 1]), NEVER)
+
+    def _merge_long(self, parts: list[str | None]) -> None:
+        """By a heap of pairs: n log n for a fragment of n symbols."""
         after = [*range(1, len(parts)), -1]
         before = list(range(-1, len(parts) - 1))
         ranks = self.ranks
@@ -99,18 +130,32 @@ class Encoder:
                     heapq.heappush(queue, (r, k, parts[k], parts[after[k]]))
             if before[k] >= 0 and (r := ranks.get((parts[before[k]], parts[k]))) is not None:
                 heapq.heappush(queue, (r, before[k], parts[before[k]], parts[k]))
-        ids = tuple(self.vocab[p] for p in parts if p is not None and p in self.vocab)
-        if len(self.fragments) >= MEMO:
-            self.fragments.clear()
-        if len(fragment) <= 64:
-            self.fragments[fragment, ends] = ids
-        return ids
 
     def encode_piece(self, piece: str) -> list[int]:
         held = "".join(map(self.alphabet.__getitem__, piece.encode()))
         parts = self.cuts(held)
         return [k for n, part in enumerate(parts) for k in self.merge(part, n == len(parts) - 1)]
 
+    def normalise(self, text: str) -> str:
+        """The file's normaliser. For scripts up to Hebrew, composition and small letters do the same (white space, which
+        the file squeezes, separates pieces either way); a capital sigma is small everywhere, as the file maps by letter."""
+        if self.plain and (text.isascii() or not BEYOND(text)):
+            return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return self.whole(text)
+
+    def found(self, text: str | None) -> list[tuple[str, str, int]]:
+        """For each piece that has ids: ids and tokens, both joined by blanks, and their number."""
+        if not text:
+            return []
+        if self.special and self.special.search(text):
+            return [x for x in self.runs(text) if x[2]]
+        pieces = self.pieces(self.normalise(text))
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            known = self._known
+            out = [x or known(p) for x, p in zip(out, pieces, strict=True)]
+        return out
+
     def _known(self, piece: str) -> tuple[str, str, int]:
         ids = self.encode_piece(piece)
         found = " ".join(map(str, ids)), " ".join(self.tokens[k] for k in ids), len(ids)
@@ -159,10 +204,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_c
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                found = [x for x in encoder.runs(text) if x[2]]
-                joined = " ".join([x[0] for x in found])
-                back = " ".join([x[1] for x in found])
-                row = (sum([x[2] for x in found]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+                parts, tokens, counts = zip(*found, strict=True) if (found := encoder.found(text)) else ((), (), ())
+                joined, back = " ".join(parts), " ".join(tokens)
+                row = (sum(counts), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
                 rows.append((*row, [int(k) for k in joined.split()]) if ids else row)
             columns = list(zip(*rows, strict=True)) or [[]] * (4 if ids else 3)
             arrays = [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
