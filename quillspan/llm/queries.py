@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import ann, bpe, mixing, near_dup, pii, png, quality, toxicity, warc
+from quillspan.llm import ann, bpe, mixing, near_dup, pii, png, quality, repeats, toxicity, warc
 from quillspan.sources.shared import table
 
 
@@ -43,6 +43,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses if each byte of a 400-byte string that occurs elsewhere goes."""
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked weight, inclusion probability and draw of every document."""
     rows = mixing.weigh(spark, table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_nearest": op6_nearest,
+    "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
