@@ -126,10 +126,11 @@ def _spotted(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFra
     return taken.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", words.alias("words"), *(["doc"] if keep else []))
 
 
-def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
+def disclosing(spark: SparkSession, found: DataFrame, texts: DataFrame) -> DataFrame:
     """``w, bits`` of the terms that stand near entities far oftener than in the corpus."""
     near = found.select(F.explode("words").alias("x")).groupBy(F.col("x.w").alias("w")).agg(F.count("*").alias("near"))
     every = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("every"))
+    every = materialise(spark, every, "words")
     sums = near.agg(F.sum("near").alias("all_near")).crossJoin(F.broadcast(every.agg(F.sum("every").alias("all_words"))))
     both = near.where(F.col("near") >= SUPPORT).join(every, "w").crossJoin(F.broadcast(sums))
     bits = F.log2((F.col("near") / F.col("all_near")) / (F.col("every") / F.col("all_words")))
@@ -138,7 +139,7 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _flagged(spark: SparkSession, found: DataFrame, texts: DataFrame) -> DataFrame:
     """``row, terms``: the places of disclosing terms near entities, as ``array<struct<s,k,e,bits>>``."""
-    terms = materialise(spark, disclosing(found, texts), "terms")
+    terms = materialise(spark, disclosing(spark, found, texts), "terms")
     places = found.select("row", F.explode("words").alias("x")).select("row", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.w").alias("w"))
     places = places.join(sized_broadcast(terms, BROADCAST_TERMS), "w")
     return places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "bits"))).alias("terms"))
