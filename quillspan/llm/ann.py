@@ -69,6 +69,7 @@ class Searcher:
         self.shift = (vectors.astype(np.float64) @ centre - centre @ centre).astype(np.float32)
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         self.floor = np.full(len(ids), -np.inf)
+        self.rounding = np.abs(vectors).sum(1) * np.float32(1e-5)
         self.compared = 0
 
     def feed(self, ids: np.ndarray, vectors: np.ndarray, sign: np.ndarray, far: np.ndarray, held: np.ndarray, with_centre: np.ndarray) -> None:
@@ -77,13 +78,19 @@ class Searcher:
         spread = np.sqrt(np.maximum(1 - held**2, 0)) / held / np.sqrt(max(size - 1, 1)) * BOUND
         slack = self.far[:, None] * (far * spread) + 1e-5
         floor = self.floor
-        if len(ids) > self.k:
-            # One place more, as a query may meet itself.
-            floor = np.maximum(floor, np.partition(guess - slack, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1])
+        if len(ids) > self.k + 1:
+            # The best guesses, compared exactly, give a floor for the rest; one more, as a query may meet itself.
+            first = np.argpartition(-guess, self.k, axis=1)[:, : self.k + 1]
+            seen = np.einsum("qd,qkd->qk", self.vectors.astype(np.float64), vectors[first].astype(np.float64))
+            seen = np.where(ids[first] == self.ids[:, None], -np.inf, seen)
+            floor = np.maximum(floor, np.partition(seen, 1, axis=1)[:, 1] - 1e-9)
         q, v = np.nonzero(guess + slack >= floor[:, None])
         other = ids[v] != self.ids[q]
         q, v = q[other], v[other]
         self.compared += len(q)
+        # Single precision drops what is clearly below the floor; double precision decides the rest.
+        near = np.einsum("nd,nd->n", self.vectors[q], vectors[v]) >= floor[q] - self.rounding[q] * np.float32(np.abs(vectors).max(initial=0))
+        q, v = q[near], v[near]
         score = exact(self.vectors[q], vectors[v])
         cut = np.searchsorted(q, np.arange(len(self.ids) + 1))
         for j in np.flatnonzero(np.diff(cut)):
