@@ -85,7 +85,8 @@ def sums_by_band(spark: SparkSession, df: DataFrame, score: str, amount: str, ed
     for name, a, b in reversed(list(zip(names, edges, edges[1:], strict=False))):
         band = F.when((F.col(score) <= b) & ((F.col(score) > a) | (F.lit(a == edges[0]) & (F.col(score) == a))), name).otherwise(band)
     sums = df.groupBy(band.alias("band")).agg(F.sum(amount).alias("total"))
-    return spark.createDataFrame([(n,) for n in names], "band string").join(sums, "band", "left").select("band", F.coalesce("total", F.lit(0)).alias("total"))
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("band"))
+    return listed.join(sums, "band", "left").select("band", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def every_nth(df: DataFrame, key: str, n: int) -> DataFrame:
