@@ -39,7 +39,9 @@ HALF, WIDTH = REACH // 2, GRAM + 2 * REACH
 VOID = 256
 #: Fragments that go through the rounds together (whole anchors, so that more come together for a frequent one).
 AT_ONCE = 4096
-BROADCAST_TEXTS = 50_000
+#: Keys (8 or 16 bytes each) that may be broadcast to filter rows; beyond it the join shuffles.
+BROADCAST_KEYS = 2_000_000
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -186,9 +188,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans, whole in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
-            runs = [[0, len(text)]] if whole else []
-            for s in sorted((s["s"], s["e"]) for s in spans or []) if not whole else []:
+        for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            runs: list[list[int]] = []
+            for s in sorted((s["s"], s["e"]) for s in spans):
                 if runs and s[0] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], s[1])
                 else:
@@ -209,24 +211,35 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     rows = long.select("key", "text").mapInArrow(_anchor_rows, "key binary, place int, left int, size int, anchor long, fragment long, near long, far long")
     rows = materialise(spark, rows, "anchors")
 
-    kinds = rows.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("key", "place", "left", "size")).alias("at"))
-    kinds = materialise(spark, kinds, "fragments")
-    twice = kinds.where("n > 1").select("anchor", "fragment")
+    # Counts first, which are narrow; the places and side hashes of fragments only where an anchor has several kinds.
+    kinds = materialise(spark, rows.groupBy("anchor", "fragment").agg(F.count("*").alias("n")), "fragments")
+    anchors_seen = materialise(spark, kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("anchor", "kinds"), "repeated")
+    mixed = anchors_seen.where("kinds > 1").select("anchor")
+    varied = rows.join(sized_broadcast(mixed, BROADCAST_KEYS), "anchor", "left_semi").groupBy("anchor", "fragment").agg(F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("key", "place", "left", "size")).alias("at"))
+    varied = materialise(spark, varied, "varied")
     # A repeated window holds HALF bytes on one side of its anchor at least, so its fragments share that side's hash.
-    sides = kinds.select("anchor", "fragment", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("near").alias("h")), F.struct(F.lit(1).alias("side"), F.col("far").alias("h")))).alias("x")).select("anchor", "fragment", "x.side", "x.h")
+    sides = varied.select("anchor", "fragment", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("near").alias("h")), F.struct(F.lit(1).alias("side"), F.col("far").alias("h")))).alias("x")).select("anchor", "fragment", "x.side", "x.h")
     shared = sides.groupBy("anchor", "side", "h").count().where("count > 1").drop("count")
     alive = sides.join(shared, ["anchor", "side", "h"]).select("anchor", "fragment").distinct()
-    wanted = kinds.join(alive, ["anchor", "fragment"]).groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", "at.place", "at.left", "at.size")).alias("wanted"))
-    contents = base.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_contents, "anchor long, fragment long, left int, content binary")
+    wanted = varied.join(alive, ["anchor", "fragment"]).groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", "at.place", "at.left", "at.size")).alias("wanted"))
+    wanted = materialise(spark, wanted, "wanted")
+    some = base.select("key", "text").join(sized_broadcast(wanted.select("key"), BROADCAST_KEYS), "key", "left_semi")
+    contents = some.join(wanted, "key").select("text", "wanted").mapInArrow(_contents, "anchor long, fragment long, left int, content binary")
     groups = contents.repartition("anchor").sortWithinPartitions("anchor", "fragment")
     found = materialise(spark, groups.mapInArrow(_groups, "anchor long, fragment long, start int, stop int"), "intervals")
 
     # Places of texts that are not themselves copies; a copy is repeated as a whole.
-    single = rows.join(copies, "key", "left_anti").select("key", "place", "left", "size", "anchor", "fragment")
-    whole = single.join(twice, ["anchor", "fragment"]).select("key", (F.col("place") - F.col("left")).alias("s"), (F.col("place") - F.col("left") + F.col("size")).alias("e"))
-    part = single.join(found, ["anchor", "fragment"]).select("key", (F.col("place") + F.col("start")).alias("s"), (F.col("place") + F.col("stop")).alias("e"))
-    spans = whole.union(part).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = spans.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("spans", F.array().cast("array<struct<s:int,e:int>>")).withColumn("whole", F.lit(True)))
-    spans = materialise(spark, spans, "removed")
-    joined = base.join(sized_broadcast(spans, BROADCAST_TEXTS), "key", "left").select("doc_id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    single = rows.join(sized_broadcast(anchors_seen.select("anchor"), BROADCAST_KEYS), "anchor", "left_semi").join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_anti")
+    parts = kinds.where("n > 1").select("anchor", "fragment", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop")).unionByName(found)
+    begin, end = F.coalesce("start", -F.col("left")), F.coalesce("stop", F.col("size") - F.col("left"))
+    spans = single.select("key", "place", "left", "size", "anchor", "fragment").join(parts, ["anchor", "fragment"]).select("key", (F.col("place") + begin).alias("s"), (F.col("place") + end).alias("e"))
+    spans = materialise(spark, spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "removed")
+
+    # Only texts that lose a part meet their spans; all others need no more than their digest.
+    sized = base.select("doc_id", "key", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    partly = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_semi").join(spans, "key").select("doc_id", "text", "spans").mapInArrow(_kept, OUT)
+    rest = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_anti").select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("own"))
+    rest = rest.join(sized_broadcast(copies.withColumn("whole", F.lit(True)), BROADCAST_KEYS), "key", "left")
+    gone = F.coalesce("whole", F.lit(False))
+    rest = rest.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("own")).alias("kept_sha256"))
+    return partly.unionByName(rest)
