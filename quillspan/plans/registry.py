@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def floors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.with_floors(B.customer_features(spark, sf_dir))
+    rows = materialise(spark, X.with_floors(materialise(spark, B.customer_features(spark, sf_dir), "features")), "floors")
     factors = F.array_join(F.transform("factors", lambda x: F.concat_ws(":", x["factor"], x["implied_income"])), "|")
     return rows.select("entity_id", "estimated_income_pkr", "declared_income_pkr", "filer_status", "tax_paid_pkr", "expected_tax_pkr", "tax_gap_pkr", "rule_deviation_score", "band", factors.alias("factors"), F.size("notes").alias("n_notes"))
 
