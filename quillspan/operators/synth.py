@@ -32,6 +32,22 @@ FAMILY = ["Khan Khaan خان", "Malik Malick ملک", "Qureshi Quraishi قریش
 AREAS = ["Model Town", "Gulberg", "Satellite Town", "Cantt", "Johar Town", "Saddar", "Garden Town", "Civil Lines"]
 
 
+#: People that every population contains, after the drawn ones; what is not listed is drawn as for anyone.
+_WEALTH = {"income": 60_000_000, "wealth": 60_000_000, "n_vehicles": 3, "n_estate": 4, "bill": 400_000, "trips": 6, "role": "normal"}
+_SON, _TWINS, _COUPLE = ({"house": h, "street": 7, "area": "Model Town", "city": c, "role": "normal"} for h, c in ((811, "Lahore"), (822, "Multan"), (833, "Quetta")))
+EDGE_PEOPLE = [
+    _WEALTH | {"gender": "M", "files": True, "declared": 0, "is_evader": True},
+    _SON | {"first": GIVEN["M"][0], "second": GIVEN["M"][1], "last": FAMILY[0], "father": GIVEN["M"][2], "father2": GIVEN["M"][3], "father3": FAMILY[0], "dob": "1955-03-01"},
+    _SON | {"first": GIVEN["M"][0], "second": GIVEN["M"][1], "last": FAMILY[0], "father": GIVEN["M"][0], "father2": GIVEN["M"][1], "father3": FAMILY[0], "dob": "1985-09-09"},
+    _TWINS | {"first": GIVEN["M"][4], "second": GIVEN["M"][5], "last": FAMILY[3], "father": GIVEN["M"][6], "father2": GIVEN["M"][7], "father3": FAMILY[3], "dob": "1990-01-15"},
+    _TWINS | {"first": GIVEN["M"][9], "second": GIVEN["M"][12], "last": FAMILY[3], "father": GIVEN["M"][6], "father2": GIVEN["M"][7], "father3": FAMILY[3], "dob": "1990-01-15"},
+    _WEALTH | {"gender": "M", "files": True, "declared": 58_000_000, "is_evader": False},
+    {"income": 20_000_000, "wealth": 20_000_000, "n_vehicles": 0, "n_estate": 2, "bill": 2500, "trips": 8, "files": False, "declared": 0, "is_evader": True, "role": "normal"},
+    _COUPLE | {"gender": "M", "role": "principal", "income": 50_000_000, "wealth": 50_000_000, "declared": 900_000, "files": True, "n_vehicles": 1, "n_estate": 0, "bill": 9000, "trips": 0, "is_evader": True},
+    _COUPLE | {"gender": "F", "role": "proxy", "income": 0, "wealth": 50_000_000, "declared": 0, "files": False, "n_vehicles": 2, "n_estate": 3, "bill": 150_000, "trips": 0, "is_evader": False},
+]
+
+
 def unit(*salt: str | int, key: str = "pid") -> Column:
     """A number in [0, 1) from the row's key and a salt."""
     return F.pmod(F.xxhash64(F.col(key), *[F.lit(s) for s in salt]), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
@@ -58,7 +74,8 @@ def ladder(u: Column, shares: list[tuple[str, float]]) -> Column:
 
 
 def population(spark: SparkSession, n: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row a person, with plans of assets. Proxy pairs are neighbouring ids: the even one owns."""
+    """One row a person, with plans of assets. Proxy pairs are neighbouring ids: the even one owns. The last
+    ``len(EDGE_PEOPLE)`` of the ``n`` people (``n`` is even) are the scripted ones."""
     s = seed
     p = spark.range(n).withColumnRenamed("id", "pid")
     pair = F.floor(F.col("pid") / 2)
@@ -105,7 +122,15 @@ def population(spark: SparkSession, n: int = 10_000, seed: int = 42) -> DataFram
         "income": F.when(proxy, 0).otherwise(inc).cast("long"),
     })
     evader = principal | (~proxy & (F.col("declared") < 0.5 * F.col("income")) & (F.col("income") >= EVADER_INCOME))
-    return p.withColumn("is_evader", evader).withColumn("person_id", F.format_string("P%07d", "pid"))
+    p = p.withColumn("is_evader", evader)
+    place = F.col("pid") - (n - len(EDGE_PEOPLE))
+    for name in sorted({c for row in EDGE_PEOPLE for c in row}):
+        value = F.col(name)
+        for k, row in enumerate(EDGE_PEOPLE):
+            if name in row:
+                value = F.when(place == k, F.lit(row[name])).otherwise(value)
+        p = p.withColumn(name, value.cast(p.schema[name].dataType))
+    return p.withColumn("person_id", F.format_string("P%07d", "pid"))
 
 
 def _typo(text: Column, rate: float, *salt: str | int) -> Column:

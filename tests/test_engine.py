@@ -35,6 +35,19 @@ def test_linkage_quality(spark, built):
     assert out["mentions"].count() == truth.count()
 
 
+def test_scripted_people_stay_apart(spark, built):
+    folder, out = built
+    truth = spark.read.parquet(f"{folder}/truth/record_linkage.parquet")
+    last = PEOPLE - len(synth.EDGE_PEOPLE)
+    found = out["mentions"].join(truth, "record_id").select("person_id", "entity_id").distinct().collect()
+    of = lambda k: {r["entity_id"] for r in found if r["person_id"] == f"P{last + k:07d}"}
+    assert of(1)
+    assert not of(1) & of(2)  # father and son of one name at one address
+    assert not of(3) & of(4)  # twins
+    scores = {r["entity_id"]: r["deviation_score"] for r in out["scores"].collect()}
+    assert max(scores[e] for e in of(0)) > max(scores[e] for e in of(5))  # the same assets, declared or not
+
+
 def test_detection_quality(spark, built):
     folder, out = built
     truth, people = (spark.read.parquet(f"{folder}/truth/{t}.parquet") for t in ("record_linkage", "persons"))
