@@ -173,3 +173,19 @@ def test_empty_registries(spark):
     empty = {k: spark.createDataFrame([], s) for k, s in R.SCHEMAS.items()}
     assert R.unified(empty).count() == 0
     assert R.field_index(empty).count() == 0
+
+
+def test_feedback_stream(spark, tmp_path):
+    from quillspan.streaming import feedback
+
+    path = str(tmp_path / "log")
+    R.append_decision(spark, path, "a", "b", "same")
+    query = feedback.label_counts(feedback.decisions(spark, path)).writeStream.outputMode("complete").format("memory").queryName("labels_seen").start()
+    try:
+        query.processAllAvailable()
+        R.append_decision(spark, path, "a", "c", "same")
+        R.append_decision(spark, path, "", "c", "different")
+        query.processAllAvailable()
+        assert [tuple(r) for r in spark.table("labels_seen").collect()] == [("same", 2)]
+    finally:
+        query.stop()
