@@ -446,3 +446,35 @@ def resolved_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = materialise(spark, R.unified(held), "records")
     mentions, _ = resolve.resolve(spark, records)
     return evaluate.pair_counts(mentions, links, "record_id", "entity_id", "person_id")
+
+
+_LETTERS = "".join(N.URDU_CLASSES)
+
+
+@query(f"""WITH k AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^{_LETTERS} ]', '', 'g') AS k FROM part)
+    SELECT p_partkey, regexp_matches(k, '[{_LETTERS}]') AS urdu, array_to_string(list_transform(list_filter(generate_series(1, length(k)), lambda i: i = 1 OR substr(k, i, 1) <> substr(k, i - 1, 1)), lambda i: substr(k, i, 1)), '') AS skeleton FROM (SELECT p_partkey, replace(k, ' ', '') AS k FROM k)""")
+def urdu_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names written in Arabic letters, one for each consonant class; the oracle keeps the classes."""
+    letters = "".join(v[0] for v in N.URDU_CLASSES.values())
+    written = F.translate(F.regexp_replace(F.lower("p_name"), f"[^{_LETTERS}]", ""), _LETTERS, letters)
+    return table(spark, sf_dir, "part").select("p_partkey", N.is_urdu(written).alias("urdu"), N.urdu_skeleton(written).alias("skeleton"))
+
+
+@query("""WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey - x.c_custkey IN (1, 12, 900))
+    SELECT a, b, CASE WHEN b - a = 900 AND a % 6 <> 5 THEN 'addr_exact' WHEN b - a IN (12, 900) THEN 'addr_area_match' ELSE 'addr_diff' END AS band FROM p""")
+def address_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8, F12 on written addresses whose house, street and city follow from the key."""
+    parsed = _styled(spark, sf_dir).select("c_custkey", N.normalize_address(F.col("address")).alias("addr"))
+    steps = F.explode(F.array(F.lit(1), F.lit(12), F.lit(900)))
+    one = parsed.select(F.col("c_custkey").alias("a"), F.col("addr").alias("x"), steps.alias("step")).withColumn("b", F.col("a") + F.col("step"))
+    both = one.join(parsed.select(F.col("c_custkey").alias("b"), F.col("addr").alias("y")), "b")
+    both = both.withColumn("area", P.token_similarity(F.col("x.area_tokens"), F.col("y.area_tokens")))
+    return both.select("a", "b", P.band_address(F.col("x"), F.col("y"), F.col("area")).alias("band"))
+
+
+@query("WITH q AS (SELECT c_custkey AS query_id, c_acctbal AS x FROM customer WHERE c_custkey % 50 = 0) SELECT query_id, round(avg(CASE WHEN c_acctbal <= x THEN 1.0 ELSE 0.0 END), 9) AS share FROM q, customer GROUP BY 1")
+def population_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a stated query set, the share of the population at most as large, from cumulative counts."""
+    c = table(spark, sf_dir, "customer")
+    counts = ranking.numbered_values(spark, c, "c_acctbal").select("c_acctbal", F.round((F.col("before") + F.col("n")) / F.col("total"), 9).alias("share"))
+    return c.where("c_custkey % 50 = 0").join(counts, "c_acctbal").select(F.col("c_custkey").alias("query_id"), "share")
