@@ -26,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a memo before it starts anew.
-MEMO = 500_000
+from quillspan.llm.memory import release, tidy
+
+#: Entries of the memos of pieces and of fragments before they start anew. Most fragments are whole pieces.
+MEMO, FRAGMENTS = 300_000, 150_000
 #: Fragments up to this many symbols merge without a heap; a rank that no pair has.
 SHORT, NEVER = 24, 1 << 60
-BEYOND = regex.compile(r"[^\u0000-\u058f]").search
+BEYOND = regex.compile(r"[^\u0000-\u052f]").search
 
 _loaded: dict[str, Encoder] = {}
 
@@ -61,12 +63,20 @@ class Encoder:
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]")).findall
-        self.whole = Tokenizer.from_str(layout).normalizer.normalize_str
+        # Only the library's normaliser and splitter are kept; it never sees the vocabulary.
+        library = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.whole, self.split_whole = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.bytes_of = {c: b for b, c in self.alphabet.items()}
         self.plain = [s["type"] for s in spec["normalizer"].get("normalizers", [spec["normalizer"]])] == ["NFC", "Replace", "Lowercase"]
         self.inside = self._inside()
         self.memo: dict[str, tuple[str, str, int]] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Empty memos; a task starts with them, so that an idle worker holds none for long."""
+        self.memo.clear()
+        self.fragments.clear()
+
     def _inside(self) -> frozenset[str]:
         """Character pairs (bytes, in the byte alphabet) that stand side by side in some vocabulary token."""
         cut = len(self.suffix)
@@ -91,7 +101,7 @@ class Encoder:
         else:
             self._merge_long(parts)
         ids = tuple([self.vocab[p] for p in parts if p is not None and p in self.vocab])
-        if len(self.fragments) >= MEMO:
+        if len(self.fragments) >= FRAGMENTS:
             self.fragments.clear()
         if len(fragment) <= 64:
             self.fragments[fragment, ends] = ids
@@ -136,12 +146,13 @@ class Encoder:
         parts = self.cuts(held)
         return [k for n, part in enumerate(parts) for k in self.merge(part, n == len(parts) - 1)]
 
-    def normalise(self, text: str) -> str:
-        """The file's normaliser. For scripts up to Hebrew, composition and small letters do the same (white space, which
-        the file squeezes, separates pieces either way); a capital sigma is small everywhere, as the file maps by letter."""
+    def split(self, text: str) -> list[str]:
+        """Normalised pieces. For scripts up to Cyrillic, composition, small letters and the file's pattern give them (white
+        space, which the file squeezes, separates pieces either way; a capital sigma is small everywhere, as the file maps
+        by letter). Beyond, letter classes depend on the library's Unicode version, so its own splitter is asked."""
         if self.plain and (text.isascii() or not BEYOND(text)):
-            return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return self.whole(text)
+            return self.pieces(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+        return [bytes(map(self.bytes_of.__getitem__, p)).decode() for p, _ in self.split_whole(self.whole(text))]
 
     def found(self, text: str | None) -> list[tuple[str, str, int]]:
         """For each piece that has ids: ids and tokens, both joined by blanks, and their number."""
@@ -149,7 +160,7 @@ class Encoder:
             return []
         if self.special and self.special.search(text):
             return [x for x in self.runs(text) if x[2]]
-        pieces = self.pieces(self.normalise(text))
+        pieces = self.split(text)
         out = list(map(self.memo.get, pieces))
         if None in out:
             known = self._known
@@ -172,7 +183,7 @@ class Encoder:
             if k % 2:
                 yield str(self.added[part]), part, 1
             elif part:
-                for piece in self.pieces(self.normalise(part)):
+                for piece in self.split(part):
                     yield memo.get(piece) or self._known(piece)
 
     def encode(self, text: str | None) -> list[int]:
@@ -188,6 +199,7 @@ def load(layout: str) -> Encoder:
     key = hashlib.sha256(layout.encode()).hexdigest()
     if key not in _loaded:
         _loaded[key] = Encoder(layout)
+        release()
     return _loaded[key]
 
 
@@ -199,6 +211,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_c
     with open(vocabulary, encoding="utf-8") as file:
         layout = spark.sparkContext.broadcast(file.read())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(layout.value)
         for batch in batches:
@@ -215,6 +228,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, id_c
                 arrays.append(pa.array(columns[3], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        encoder.forget()
 
     taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return taken.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import textvec as tv
+from quillspan.llm.memory import tidy
 from quillspan.operators.components import connected_components
 from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 
@@ -82,6 +83,7 @@ def bands(points: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
     return total.astype(np.int64)
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in tv.chunks(batch.column("text")):
@@ -93,6 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("key").slice(first, n), lists], ["doc_id", "key", "bands"])
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sum(min) / sum(max) over the shingles of ``text_a`` and ``text_b``."""
     for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, len(b), PAIRS_AT_ONCE)):
@@ -121,6 +124,7 @@ def overlaps(spark: SparkSession, texts: DataFrame, pairs: DataFrame) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, similarity double")
 
 
+@tidy
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in tv.chunks(batch.column("text")):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import tidy
+
 ROW_BYTES, PAD = 192, 32
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel by colour type, at 8 bits a sample.
@@ -162,6 +164,7 @@ def cosine_hash(samples: np.ndarray, channels: int) -> str:
     return format(int.from_bytes(np.packbits(bits).tobytes(), "big"), "016x")
 
 
+@tidy
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Store each text as an image, then read the stored bytes back for every value but ``n_bytes``."""
     for batch in batches:

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import learn
 from quillspan.llm import textvec as tv
+from quillspan.llm.memory import release
 
-POSITIVES, UNLABELLED, HIDDEN, STEPS = 6000, 8000, 24, 500
+POSITIVES, UNLABELLED, HIDDEN, STEPS = 4000, 5000, 24, 500
 FOLDS, THRESHOLD = 5, 0.3
 
 _CLASS = np.full(256, 7)
@@ -150,7 +151,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     rest = learn.sorted_arrow(learn.unlabelled_texts(docs, UNLABELLED, train))
     if not len(positive) or not len(rest):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], prior if share is not None else 0.5)
-    return fit_model(features(positive["text"]), features(rest["text"]), prior)
+    rows = features(positive["text"]), features(rest["text"])
+    del positive, rest
+    release()
+    return fit_model(*rows, prior)
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -158,8 +162,11 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(model.score(texts))
+        try:
+            for texts in batches:
+                yield pa.array(model.score(texts))
+        finally:
+            release()
 
     return score(text)
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import learn
 from quillspan.llm import textvec as tv
+from quillspan.llm.memory import release
 
 TOXIC, CLEAN = 3000, 5000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -168,14 +169,20 @@ def _logistic(x: np.ndarray, q: np.ndarray, steps: int = 400, decay: float = 1e-
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     train = learn.fold("doc_id", FOLDS) != HELD_OUT
     found = [learn.sorted_arrow(learn.texts_of(docs, learn.labelled_ids(labels, "toxic", value, rows, train)))["text"] for value, rows in ((1, TOXIC), (0, CLEAN))]
-    return fit_model(*found)
+    model = fit_model(*found)
+    del found
+    release()
+    return model
 
 
 def score_column(model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(model.score(texts))
+        try:
+            for texts in batches:
+                yield pa.array(model.score(texts))
+        finally:
+            release()
 
     return score(text)
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import tidy
 from quillspan.sources.shared import materialise
 
 ARCHIVE_BYTES, REVISIT_BYTES = 4 << 20, 100
@@ -166,6 +167,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+@tidy
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages to legacy records, to WARC records, to archives."""
     held: list[bytes] = []
@@ -184,6 +186,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], ["archive"])
 
 
+@tidy
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
