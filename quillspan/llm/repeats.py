@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import textvec as tv
+from quillspan.llm.memory import tidy
 from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 
 LENGTH, GRAM = 400, 64
@@ -37,8 +39,10 @@ REACH = LENGTH - GRAM
 HALF, WIDTH = REACH // 2, GRAM + 2 * REACH
 #: Stands outside a text and matches nothing.
 VOID = 256
-#: Fragments that go through the rounds together (whole anchors, so that more come together for a frequent one).
+#: Fragments that go through the rounds together (whole buckets, so up to ``HOT`` more).
 AT_ONCE = 4096
+#: Fragments of one anchor beyond which they are told apart by their cores.
+HOT = 1024
 #: Keys (8 or 16 bytes each) that may be broadcast to filter rows; beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -128,6 +132,7 @@ def repeated_windows(symbols: np.ndarray) -> np.ndarray:
     return found
 
 
+@tidy
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in tv.chunks(batch.column("text")):
@@ -137,6 +142,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key, *numbers], ["key", "place", "left", "size", "anchor", "fragment", "near", "far"])
 
 
+@tidy
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted fragments of each text."""
     for batch in batches:
@@ -153,6 +159,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _intervals(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
     """``anchor, fragment, from, to`` (relative to the anchor) of the repeated bytes of whole groups of fragments."""
+    rows = list({row[:2]: row for row in rows}.values())  # a fragment of several buckets must not match itself
     symbols = np.full((len(rows), WIDTH), VOID, np.int16)
     for k, (_, _, left, content) in enumerate(rows):
         symbols[k, REACH - left : REACH - left + len(content)] = np.frombuffer(content, np.uint8)
@@ -164,8 +171,9 @@ def _intervals(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, i
         yield rows[k][0], rows[k][1], a - REACH, b - 1 + LENGTH - REACH
 
 
+@tidy
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments sorted by anchor: gather whole anchors up to ``AT_ONCE`` rows, then run the rounds on them together."""
+    """Fragments sorted by bucket: gather whole buckets up to ``AT_ONCE`` rows, then run the rounds on them together."""
 
     def out(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         columns = list(zip(*_intervals(rows), strict=True)) or [[]] * 4
@@ -173,18 +181,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "fragment", "start", "stop"])
 
     held: list[tuple[int, int, int, bytes]] = []
+    last = None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "fragment", "left", "content")), strict=True):
-            if held and row[:2] == held[-1][:2]:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchor", "fragment", "left", "content")), strict=True):
+            if last == (bucket, row[1]):
                 continue  # the same fragment from a copy of its text
-            if len(held) >= AT_ONCE and row[0] != held[-1][0]:
+            if len(held) >= AT_ONCE and bucket != last[0]:
                 yield out(held)
                 held = []
-            held.append(row)
+            held.append(tuple(row))
+            last = bucket, row[1]
     if held:
         yield out(held)
 
 
+@tidy
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -203,6 +214,53 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def intervals(spark: SparkSession, contents: DataFrame) -> DataFrame:
+    """``anchor, fragment, start, stop`` of the repeated bytes of fragments.
+
+    Anchors of at most ``HOT`` fragments go to the rounds as they are. The fragments of a frequent one are told apart
+    further, however many they are: windows that start in a range of columns share a core, the bytes that all of them
+    cover, so only fragments of equal cores can have equal windows there. Cores are counted with map-side sums; a core of
+    one fragment is done, one of few goes to the rounds, and for the rest the range is halved. Fragments that are equal over
+    all windows of a range are repeated there, and one of them stands for the others from then on; a range of one column is
+    settled that way.
+    """
+    sizes = contents.select("anchor", "fragment").distinct().groupBy("anchor").count()
+    hot = materialise(spark, sizes.where(F.col("count") > HOT).select("anchor"), "hot")
+    cold = contents.join(sized_broadcast(hot, BROADCAST_KEYS), "anchor", "left_anti").withColumn("bucket", F.col("anchor"))
+    parts = [cold.select("bucket", "anchor", "fragment", "left", "content")]
+    whole: list[DataFrame] = []
+    many = materialise(spark, contents.join(sized_broadcast(hot, BROADCAST_KEYS), "anchor", "left_semi").dropDuplicates(["anchor", "fragment"]), "frequent")
+    nodes = many.select("anchor", "fragment", F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))
+    first, last = f"({REACH} - left)", f"({REACH} - left + length(content) - {LENGTH})"
+
+    def half(lo: str, hi: str) -> str:
+        core = f"substring(content, {hi} - {first} + 1, {lo} + {LENGTH} - ({hi}))"
+        reach = f"IF({lo} >= {first} AND {hi} <= {last}, substring(content, {lo} - {first} + 1, {hi} - ({lo}) + {LENGTH}), NULL)"
+        own = lambda k: f"IF({reach} IS NULL, fragment, xxhash64({reach}, {k}))"
+        return f"named_struct('ok', greatest({lo}, {first}) <= least({hi}, {last}), 'lo', {lo}, 'hi', {hi}, 'h', xxhash64({core}, 1), 'g', xxhash64({core}, 2), 'f', {own(1)}, 'e', {own(2)})"
+
+    middle = "CAST(floor((lo + hi) / 2) AS INT)"
+    while nodes.limit(1).count():
+        both = F.expr(f"filter(array({half('lo', middle)}, {half(middle + ' + 1', 'hi')}), x -> x.ok)")
+        cores = nodes.join(many, ["anchor", "fragment"]).select("anchor", "fragment", F.explode(both).alias("x"))
+        cores = materialise(spark, cores.select("anchor", "fragment", "x.lo", "x.hi", "x.h", "x.g", "x.f", "x.e"), "cores")
+        # Equal over all the range's windows: repeated there. One of them stays, for others to match.
+        place = ["anchor", "lo", "hi", "f", "e"]
+        kinds = materialise(spark, cores.groupBy(*place).agg(F.count("*").alias("n"), F.min("fragment").alias("fragment"), F.min("h").alias("h"), F.min("g").alias("g")), "kinds")
+        whole.append(cores.join(kinds.where("n > 1").select(*place), place).select("anchor", "fragment", (F.col("lo") - REACH).alias("start"), (F.col("hi") + LENGTH - REACH).alias("stop")))
+        cores = kinds.select("anchor", "fragment", "lo", "hi", "h", "g")
+        counts = cores.groupBy("anchor", "lo", "hi", "h", "g").count().where("count > 1")
+        alive = materialise(spark, cores.join(counts, ["anchor", "lo", "hi", "h", "g"]), "alive")
+        few = alive.where(F.col("count") <= HOT).select(F.xxhash64("anchor", "lo", "hi", "h", "g").alias("bucket"), "anchor", "fragment")
+        parts.append(few.join(many, ["anchor", "fragment"]).select("bucket", "anchor", "fragment", "left", "content"))
+        big = alive.where(F.col("count") > HOT)
+        nodes = materialise(spark, big.where("lo < hi").select("anchor", "fragment", "lo", "hi"), "nodes")
+    rows = reduce(DataFrame.unionByName, parts)
+    groups = rows.repartition("bucket").sortWithinPartitions("bucket", "fragment")
+    found = groups.mapInArrow(_groups, "anchor long, fragment long, start int, stop int")
+    return materialise(spark, reduce(DataFrame.unionByName, [found, *whole]).distinct(), "intervals")
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
@@ -225,8 +283,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     wanted = materialise(spark, wanted, "wanted")
     some = base.select("key", "text").join(sized_broadcast(wanted.select("key"), BROADCAST_KEYS), "key", "left_semi")
     contents = some.join(wanted, "key").select("text", "wanted").mapInArrow(_contents, "anchor long, fragment long, left int, content binary")
-    groups = contents.repartition("anchor").sortWithinPartitions("anchor", "fragment")
-    found = materialise(spark, groups.mapInArrow(_groups, "anchor long, fragment long, start int, stop int"), "intervals")
+    contents = materialise(spark, contents, "contents")
+    found = intervals(spark, contents)
 
     # Places of texts that are not themselves copies; a copy is repeated as a whole.
     single = rows.join(sized_broadcast(anchors_seen.select("anchor"), BROADCAST_KEYS), "anchor", "left_semi").join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_anti")
