@@ -77,15 +77,19 @@ class Encoder:
         self.memo.clear()
         self.fragments.clear()
 
-    def _inside(self) -> frozenset[str]:
+    def _inside(self) -> frozenset[tuple[str, str]]:
         """Character pairs (bytes, in the byte alphabet) that stand side by side in some vocabulary token."""
         cut = len(self.suffix)
         bare = (t[:-cut] if cut and t.endswith(self.suffix) else t for t in self.vocab)
-        return frozenset(t[k : k + 2] for t in bare for k in range(len(t) - 1))
+        return frozenset(pair for t in bare for pair in zip(t, t[1:], strict=False))
 
     def cuts(self, piece: str) -> list[str]:
         """The fragments of a piece (in the byte alphabet) between its forced boundaries."""
-        at = [0, *(k + 1 for k in range(len(piece) - 1) if piece[k : k + 2] not in self.inside), len(piece)]
+        inside = self.inside
+        at = [k for k, pair in enumerate(zip(piece, piece[1:], strict=False), 1) if pair not in inside]
+        if not at:
+            return [piece]
+        at = [0, *at, len(piece)]
         return [piece[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def merge(self, fragment: str, ends: bool) -> tuple[int, ...]:
@@ -142,7 +146,8 @@ class Encoder:
                 heapq.heappush(queue, (r, before[k], parts[before[k]], parts[k]))
 
     def encode_piece(self, piece: str) -> list[int]:
-        held = "".join(map(self.alphabet.__getitem__, piece.encode()))
+        # Printable ASCII stands for itself in the byte alphabet.
+        held = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(self.alphabet.__getitem__, piece.encode()))
         parts = self.cuts(held)
         return [k for n, part in enumerate(parts) for k in self.merge(part, n == len(parts) - 1)]
 
