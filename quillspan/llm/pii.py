@@ -7,8 +7,10 @@ matches of a pattern: the lengths of the parts and of the matches add up.
 The method adds spans of kind ``term`` (Sanchez and Batet 2013): corpus co-occurrence estimates how much a term tells about
 protected entities. A term is a lower-case word of at least ``TERM_LETTERS`` letters; its information about protected
 entities is ``log2(P(term near an entity) / P(term))``, from counts of all words of all documents and of the words within
-``WINDOW`` code points of a base span. Terms that exceed ``DISCLOSE`` bits and stand near at least ``SUPPORT`` entities are
-generalised where they stand near an entity; those that exceed ``REMOVE`` bits are removed there.
+``WINDOW`` code points of a base span. Terms of at least ``DISCLOSE`` bits are generalised where they stand near an entity;
+those of at least ``REMOVE`` bits are removed there. Every term near an entity is judged, however rare: the bits are a ratio
+of shares, so they do not depend on the size of the table. A part of a word that is left beside a span (its rest belongs to
+the span) counts as a term of its own.
 
 The patterns are written with possessive repeats and a left guard, so that a text of any length takes linear time and no
 regex recursion; matches are those of the plain patterns.
@@ -27,7 +29,7 @@ from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 TERM_LETTERS, WINDOW = 4, 48
-DISCLOSE, REMOVE, SUPPORT = 5.0, 7.0, 12
+DISCLOSE, REMOVE = 5.0, 7.0
 #: Terms that may be broadcast; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
 
@@ -129,11 +131,11 @@ def _spotted(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFra
 def disclosing(spark: SparkSession, found: DataFrame, texts: DataFrame) -> DataFrame:
     """``w, bits`` of the terms that stand near entities far oftener than in the corpus."""
     near = found.select(F.explode("words").alias("x")).groupBy(F.col("x.w").alias("w")).agg(F.count("*").alias("near"))
-    every = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("every"))
+    every = texts.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), 0)).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("every"))
     every = materialise(spark, every, "words")
     sums = near.agg(F.sum("near").alias("all_near")).crossJoin(F.broadcast(every.agg(F.sum("every").alias("all_words"))))
-    both = near.where(F.col("near") >= SUPPORT).join(every, "w").crossJoin(F.broadcast(sums))
-    bits = F.log2((F.col("near") / F.col("all_near")) / (F.col("every") / F.col("all_words")))
+    both = near.join(every, "w", "left").crossJoin(F.broadcast(sums))
+    bits = F.log2((F.col("near") / F.col("all_near")) / (F.greatest("every", "near") / F.col("all_words")))
     return both.select("w", bits.alias("bits")).where(F.col("bits") >= DISCLOSE)
 
 

@@ -208,6 +208,17 @@ def test_disclosing_terms(spark):
     assert clean[100] == rows[-1][1]
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_rare_terms_are_judged_at_any_size(spark, times):
+    """Terms that stand near one, two or four entities only; the flagged terms are the same in a table many times as large."""
+    rows = ["common words here zephyrine me@mail.org common", "common words quillon you@mail.org common"] * 2 + ["zephyrine common words too@mail.org here", "zephyrine one@mail.org"]
+    rows += ["words hapaxia İzmirli four@mail.org common", "gluedé5@mail.org words"] + ["common words here of the other kind " * 40] * 30
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows * times)], "doc_id long, text string")
+    out = pii.spans(spark, docs).where(f"doc_id < {len(rows)}").collect()
+    terms = {rows[r["doc_id"]][int(s) : int(e)] for r in out for kind, s, e in (x.split(":") for x in r["spans"].split(",") if x) if kind == "term"}
+    assert terms == {"zephyrine", "quillon", "hapaxia", "İzmirli", "gluedé"}
+
+
 def test_sanitise_edge_rows(spark, edges):
     out = pii.sanitise(spark, edges.union(edges.where("doc_id = 1").withColumn("text", F.lit("call +1 (017) 555-7713 now"))))
     assert out.columns == edges.columns
