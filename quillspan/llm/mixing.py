@@ -6,6 +6,10 @@ raised to an exponent below 1 and normalised, which lifts small groups; other ta
 weight is its raked tokens over its tokens. A document is kept with probability ``min(1, rate * weight)``; the rate is
 chosen so that the expected tokens are ``BUDGET`` of all. The draw is a digest of the id, so a rerun keeps the same rows.
 
+A cell at probability 1 falls short of its raked tokens, so these probabilities miss the targets where cells are scarce.
+``calibrate`` rakes the probabilities themselves: the shortfall goes to the free cells of the same groups, and a group whose
+target exceeds its tokens is kept whole, its excess shared by the others in proportion to their targets. ``sample`` does so.
+
 Tokens are counted as quarters of UTF-8 bytes, rounded up. The topic is a class of layout read from the whole text.
 
 Defined results: a null source, lang or topic is a group of its own (the empty string); null and empty texts have no
@@ -22,6 +26,8 @@ from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS, RATE_ROUNDS, BUDGET = 8, 6, 0.8
+#: Sweeps over the probabilities, which the bound of 1 slows down.
+BOUND_SWEEPS = 16
 #: Cells that may be broadcast to the documents; beyond it the join shuffles.
 BROADCAST_CELLS = 100_000
 #: Topic, character and the least share of it in a text, in order of precedence.
@@ -78,12 +84,41 @@ def rate_of(cells: DataFrame, budget: float = BUDGET, rounds: int = RATE_ROUNDS)
     return rate
 
 
+def reachable(spark: SparkSession, cells: DataFrame, margin: str, target: DataFrame, budget: float) -> DataFrame:
+    """``margin, mass``: expected tokens of each group, none above its own, that sum to ``budget`` of all."""
+    total = cells.agg(F.sum("tokens").alias("all_tokens"))
+    groups = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").join(target, margin).join(F.broadcast(total))
+    groups = materialise(spark, groups.withColumn("weight", F.col("target") * F.col("all_tokens") / F.col("tokens")), f"mass-{margin}")
+    return groups.select(margin, (F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * rate_of(groups, budget))).alias("mass"))
+
+
+def bound(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], rate: float, budget: float = BUDGET, sweeps: int = BOUND_SWEEPS) -> DataFrame:
+    """``cells`` with ``chance``, whose part up to 1 is the probability: expected tokens that approach the reachable masses.
+
+    In each group the free cells are scaled to what the capped ones leave of its mass; all are, if these alone exceed it.
+    """
+    masses = {m: reachable(spark, cells, m, t, budget) for m, t in targets.items()}
+    now = cells.withColumn("chance", F.col("weight") * rate)
+    full, free = F.when(F.col("chance") >= 1, F.col("tokens")).otherwise(0), F.when(F.col("chance") < 1, F.col("chance") * F.col("tokens")).otherwise(0.0)
+    for _ in range(sweeps):
+        for margin, mass in masses.items():
+            sums = now.groupBy(margin).agg(F.sum(full).alias("full"), F.sum(free).alias("free"))
+            left = F.col("mass") - F.col("full")
+            scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(left < 0, F.col("mass") / (F.col("full") + F.col("free"))).otherwise(1.0)
+            # Chances above 1 count as 1 when their group has too much, or they would stay above it.
+            now = now.join(sums.join(mass, margin).select(margin, scale.alias("scale"), (left < 0).alias("over")), margin, "left")
+            held = F.when(F.col("over"), F.least(F.lit(1.0), "chance")).when(F.col("chance") >= 1, F.col("chance") / F.col("scale")).otherwise(F.col("chance"))
+            now = now.withColumn("chance", F.coalesce(held * F.col("scale"), "chance")).drop("scale", "over")
+        now = materialise(spark, now, "bound")
+    return now
+
+
 def draw(id_col: Column) -> Column:
     """A number in [0, 1) from the id's digest."""
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, keep: bool = False) -> DataFrame:
+def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, keep: bool = False, calibrate: bool = False) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, probability, kept`` of every row (and ``doc``, if ``keep``)."""
     cells = measured(docs, id_col, text_col).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialise(spark, cells, "cells")
@@ -91,15 +126,16 @@ def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     raked = rake(spark, cells, found)
     weighed = materialise(spark, raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)), "weights")
     rate = rate_of(weighed, budget)
-    small = sized_broadcast(weighed.select(*MARGINS, "weight"), BROADCAST_CELLS)
+    chance = bound(spark, weighed, found, rate, budget) if calibrate else weighed.withColumn("chance", F.col("weight") * rate)
+    small = sized_broadcast(chance.select(*MARGINS, "weight", "chance"), BROADCAST_CELLS)
     rows = measured(docs, id_col, text_col, keep).join(small, list(MARGINS))
-    rows = rows.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * rate))
+    rows = rows.withColumn("probability", F.least(F.lit(1.0), "chance")).drop("chance")
     return rows.withColumn("kept", (draw(F.col("doc_id")) < F.col("probability")).cast("int"))
 
 
 def sample(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``."""
-    return weigh(spark, docs, keep=True).where("kept = 1").select("doc.*")
+    return weigh(spark, docs, keep=True, calibrate=True).where("kept = 1").select("doc.*")
 
 
 def oracle() -> str:

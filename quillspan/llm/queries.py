@@ -54,6 +54,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
+def op8_mixing_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with probabilities raked to the targets under the bound of 1, as the pipeline samples."""
+    rows = mixing.weigh(spark, table(spark, sf_dir, "documents"), calibrate=True)
+    return rows.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, with its fold."""
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest": op6_nearest,
     "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
+    "op8_mixing_calibrated": op8_mixing_calibrated,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
 }

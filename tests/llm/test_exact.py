@@ -279,6 +279,22 @@ def test_raked_margins(spark, small_docs):
         assert np.allclose(got / got.sum(), own / own.sum(), atol=0.02)
 
 
+def test_sample_meets_reachable_margins(spark):
+    """Expected kept tokens of each group: the target, or all of a group that has less, the rest shared by the others."""
+    sizes = {("a", "en", "x"): 600, ("a", "es", "x"): 150, ("b", "en", "x"): 130, ("b", "es", "x"): 60, ("c", "en", "x"): 12, ("c", "es", "|"): 8, ("a", "en", "|"): 40}
+    docs = spark.createDataFrame([(k, s, l, t * 40) for k, (s, l, t) in enumerate(c for c, n in sizes.items() for _ in range(n))], "doc_id long, source string, lang string, text string")
+    rows = mixing.weigh(spark, docs, keep=True, calibrate=True).toPandas()
+    assert rows["probability"].between(0, 1).all()
+    for margin, exponent in mixing.MARGINS.items():
+        own = rows.groupby(margin)["n_tokens"].sum()
+        target, mass = own**exponent / (own**exponent).sum(), own * 0.0
+        for _ in own:
+            whole = mass >= own
+            mass = own.where(whole, target * (mixing.BUDGET * own.sum() - own[whole].sum()) / target[~whole].sum()).clip(upper=own)
+        got = (rows["probability"] * rows["n_tokens"]).groupby(rows[margin]).sum()
+        assert np.allclose(got / own.sum(), mass / own.sum(), atol=0.005)
+
+
 def test_mixing_edge_rows(spark, edges):
     holes = edges.withColumn("source", F.when(F.col("doc_id") > 4, F.col("source"))).withColumn("lang", F.lit(None).cast("string"))
     rows = mixing.weigh(spark, holes).collect()
