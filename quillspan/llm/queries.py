@@ -66,7 +66,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: class of equal texts, near-duplicate group, number of verified links of its text."""
+    """One row per document: class of equal texts and near-duplicate group."""
     return near_dup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 

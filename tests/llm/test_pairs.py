@@ -96,14 +96,30 @@ def test_prefix_pairs_lose_no_link(spark):
             w[rng.randrange(100)] = f"q{rng.randrange(50)}"
         texts.append(" ".join(w))
     ids = list(enumerate(texts))
-    df = spark.createDataFrame(ids, "id long, text string")
-    left = spark.createDataFrame([(i, i) for i, _ in ids], "id long, component long")
-    named = {(r["a"], r["b"]) for r in near_dup.prefix_pairs(spark, df, left, 0.8).collect()}
+    df = spark.createDataFrame(ids, "node long, text string")
+    left = spark.createDataFrame([(i, i) for i, _ in ids], "node long, component long")
+    named = {(r["lead"], r["node"]) for r in near_dup.prefix_pairs(spark, df, left, 0.8).collect()}
     linked = {(i, j) for i, t in ids for j, u in ids if i < j and overlap(shingles(t), shingles(u)) >= 0.8}
     assert linked
     assert linked <= named
 
 
+@pytest.mark.parametrize("members", [512, 3])
+def test_leaders_of_many_members(spark, monkeypatch, members):
+    """A large group of near copies costs about one comparison a member, however its leader's text is dealt out."""
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    rows = [(k, " ".join(w if rng.random() > 0.01 else f"q{rng.randrange(9999)}" for w in base)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicates(spark, df).collect()} == brute_groups(rows)
+    texts = df.withColumnRenamed("doc_id", "node")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(7, 3), (8, 3)], "lead long, node long")
+    found = {(r["a"], r["b"]): r["similarity"] for r in near_dup.overlaps(spark, texts, pairs).collect()}
+    assert len(found) == 61
+    assert all(abs(x - overlap(shingles(rows[a][1]), shingles(rows[b][1]))) < 1e-12 for (a, b), x in found.items())
+
+
 def test_group_edge_rows(spark, edges):
     rows = near_dup.near_duplicates(spark, edges).collect()
     assert len(rows) == edges.count()
@@ -114,6 +130,24 @@ def test_group_edge_rows(spark, edges):
     assert near_dup.keep_first(spark, edges).where("doc_id = 4").count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """Texts are told apart by content: an id that repeats with another text loses nothing, a near copy without id is found."""
+    rng = random.Random(12)
+    long = [" ".join(f"{name}{rng.randrange(500)}" for _ in range(100)) for name in "abcd"]
+    near = [t.rsplit(" ", 2)[0] + f" x{k}" for k, t in enumerate(long)]
+    rows = [(1, long[0]), (1, long[1]), (1, long[1]), (None, near[1]), (2, near[0]), (None, long[2]), (None, near[2]), (None, near[2]), (3, long[3]), (None, long[3]), (None, None), (4, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, `odd.name` int")
+    found = [(r["doc_id"], r["group_id"]) for r in near_dup.near_duplicates(spark, df).collect()]
+    assert len(found) == len(rows)
+    assert sorted(g for d, g in found if d is None and g is not None) == [1, 3, 4]
+    assert sum(g is None for _, g in found) == 3
+    kept = near_dup.keep_first(spark, df)
+    assert kept.columns == df.columns
+    held = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(map(str, held)) == sorted(map(str, [(1, long[0]), (1, long[1]), next(h for h in held if h[0] is None), (3, long[3]), (4, "")]))
+    assert next(h[1] for h in held if h[0] is None) in (long[2], near[2])
+
+
 def test_nearest_recall(spark):
     vectors = table(spark, LARGER, "embeddings").toPandas()
     x, ids = np.stack(vectors["embedding"]).astype(float), vectors["vec_id"].to_numpy()
