@@ -29,8 +29,11 @@ from quillspan.operators.components import connected_components
 from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
 
 SLOTS, BAND_ROWS, SHINGLE, SIMILARITY = 128, 4, 5, 0.8
-#: Leader rounds before prefix filtering looks for links between the components that still share buckets.
-LEADER_ROUNDS = 2
+#: Leader rounds before prefix filtering looks for links between the components that still share buckets, and leaders that
+#: a bucket names in each.
+LEADER_ROUNDS, LEADERS = 5, 4
+#: Buckets that a member shares with a leader it is compared with; pairs that share fewer are left to prefix filtering.
+SHARED = 3
 #: Members that meet one copy of their leader's text; a leader of more is sent once for each so many.
 MEMBERS = 512
 #: Rows of 8 to 24 bytes that may be broadcast; beyond it the join shuffles.
@@ -210,15 +213,20 @@ def _classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     unnamed = texts.where("class_id IS NULL").groupBy("node").agg(F.any_value("text").alias("text"))
     texts = materialise(spark, texts.where("class_id IS NOT NULL").select("node", "text").unionByName(unnamed), "texts")
 
-    links = tried = None
+    links = tried = seen = central = None
     part = nodes.select("node", F.col("node").alias("component"))
     for turn in range(LEADER_ROUNDS + 1):
         placed = members.join(part, "node")
-        # The first leader of a bucket is its least node, so that a group has the same one everywhere; later ones by a hash.
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min(F.struct(order.alias("o"), F.col("node").alias("lead"), F.col("component").alias("of"))).alias("l")).where("p < q")
+        if central is not None:
+            placed = placed.join(central, "node", "left")
+        # Leaders are the members that met the most similar texts so far; at first, those of least hash. Neither looks at the
+        # band, so that a group has the same few everywhere.
+        rank = F.struct((-F.coalesce("central", F.lit(0.0)) if central is not None else F.lit(0)).alias("o"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("component").alias("of"))
+        leads = [F.min(F.when(F.pmod("node", F.lit(LEADERS)) == k, rank)).alias(f"l{k}") for k in range(LEADERS)]
+        mixed = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), *(leads if turn < LEADER_ROUNDS else [])).where("p < q")
         if turn < LEADER_ROUNDS:
-            named = placed.join(mixed.select("band", "l.lead", "l.of"), "band").where("component <> of").groupBy("node", "lead").count()
+            mixed = mixed.select("band", F.explode(F.filter(F.array(*[f"l{k}" for k in range(LEADERS)]), lambda x: x.isNotNull())).alias("l"))
+            named = placed.join(mixed.select("band", "l.lead", "l.of"), "band").where("component <> of").groupBy("node", "lead").count().where(F.col("count") >= SHARED)
             if tried is not None:
                 named = named.join(tried, ["node", "lead"], "left_anti")
             # One leader a member: the one it shares most buckets with.
@@ -234,6 +242,9 @@ def _classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
             break
         now = pairs.select("node", "lead").union(pairs.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
         tried = now if tried is None else tried.union(now)
+        met = scored.select(F.col("a").alias("node"), "similarity").union(scored.select(F.col("b").alias("node"), "similarity"))
+        seen = met if seen is None else seen.union(met)
+        central = seen.groupBy("node").agg(F.avg("similarity").alias("central"))
         grouped = connected_components(spark, links, "a", "b")
         part = materialise(spark, nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
 
@@ -248,8 +259,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     that links of at least ``similarity`` join to it).
 
     1. One pass hashes every text into band keys; equal texts collapse to a class by an aggregate.
-    2. Each bucket names a leader, another one in each round; each member meets one leader of another component a round,
-       exactly: the one it shares most buckets with. That joins all but stray members of a group at one comparison each.
+    2. Each bucket names a few leaders, others in each round; each member is compared with one leader of another component a
+       round, exactly: the one it shares most buckets with. That joins all but stray members of a group at one comparison
+       each.
     3. Among the members of buckets that still hold different components, prefix filtering names every pair of different
        components that can reach ``similarity``, and those are compared, so no link between components is lost. Links
        inside a component cannot change the result.
