@@ -1,39 +1,35 @@
-"""Bounded, repeatable training samples for the two classifiers."""
+"""Bounded, repeatable training samples for the two classifiers. Rows are bounded, texts are whole and stay on executors."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A training text longer than this many bytes is left out of the sample (scoring reads whole texts of any length).
-SAMPLE_TEXT_BYTES = 1 << 20
-
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
+def first_by_hash(ids: DataFrame, rows: int, salt: int) -> DataFrame:
+    """The ``rows`` ids of least hash. Hashes beyond twice the expected bound go before the sort, which is thereby small."""
+    every = max(1, ids.count() // (2 * rows))
+    near = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(-salt)), F.lit(every)) == 0)
+    return near.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(rows)
+
+
 def labelled_ids(labels: DataFrame, label: str, value: int, rows: int, train: Column) -> DataFrame:
     """At most ``rows`` training ids whose every non-null label is ``value``, by a hash order that ignores content."""
     agreed = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
-    agreed = agreed.where((F.col("low") == value) & (F.col("high") == value)).select("doc_id")
-    return agreed.orderBy(F.xxhash64("doc_id", F.lit(value)), "doc_id").limit(rows)
+    return first_by_hash(agreed.where((F.col("low") == value) & (F.col("high") == value)).select("doc_id"), rows, value + 1)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of a bounded set of ids, one for each id."""
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    """Whole texts of a bounded set of ids, one for each id."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def unlabelled_texts(docs: DataFrame, rows: int, train: Column) -> DataFrame:
-    """About ``rows`` texts (at most twice as many) of training-fold documents, chosen by a hash of the id."""
-    every = max(1, docs.count() // rows)
-    found = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & train & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0))
-    return found.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).limit(2 * rows)
-
-
-def sorted_arrow(df: DataFrame) -> pa.Table:
-    return df.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def any_texts(docs: DataFrame, rows: int, train: Column) -> DataFrame:
+    """Whole texts of at most ``rows`` training-fold ids, whether labelled or not, by a hash of the id."""
+    return texts_of(docs, first_by_hash(docs.select("doc_id").where(F.col("doc_id").isNotNull() & train).distinct(), rows, 7))

@@ -3,12 +3,16 @@
 Features are shape statistics of the whole text (byte classes, word lengths, repetition of words, word runs and lines).
 A small network is trained by Adam on ``prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])`` with the logistic
 loss (Kiryo et al. 2017), on a bounded sample: at most ``POSITIVES`` trusted positives of the training fold (label 1) and
-about ``UNLABELLED`` texts of the training fold without any label. The class prior is estimated as the share of label 1
-among all training-fold labels. Labels, lang, source and doc_id are never inputs of a score.
+at most ``UNLABELLED`` texts of the training fold as they come, whose labels, if any, are not looked at. No label 0 is used.
+
+The class prior is estimated from these two samples alone: the share of positives in a mixture is at most the unlabelled
+share of any set over its positive share, and about that for a set that no negative reaches. The sets are the texts above
+thresholds of a classifier of positives against unlabelled texts, fitted on one half of both and read on the other
+(mixture proportion estimation after Scott 2015). Features are computed on the executors; no text reaches the driver.
+Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have all-zero shape statistics and get the score of such a text; a null id is in
-neither fold (``held_out`` null) and is scored like any other; without positives the score is the prior (0.5 without
-labels); an empty table gives no rows. Repeated rows get equal scores.
+neither fold (``held_out`` null) and is scored like any other; without positives or texts the score is 0.5; an empty table gives no rows. Repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -111,8 +115,9 @@ def nn_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float
     return prior * loss(positive) + max(0.0, loss(-unlabelled) - prior * loss(-positive))
 
 
-def fit_model(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, seed: int = 1) -> Model:
-    """Adam on the non-negative risk; where its second part is negative, the step raises that part alone."""
+def fit_model(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, seed: int = 1, plain: bool = False) -> Model:
+    """Adam on the non-negative risk; where its second part is negative, the step raises that part alone. ``plain``: on the
+    risk of telling the two samples apart."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     rng = np.random.default_rng(seed)
@@ -127,7 +132,9 @@ def fit_model(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         sig = 1 / (1 + np.exp(-z.clip(-40, 40)))
         negative = np.logaddexp(0, z[n_p:]).mean() - prior * np.logaddexp(0, z[:n_p]).mean()
         grad = np.empty_like(z)
-        if negative >= 0:
+        if plain:
+            grad[:n_p], grad[n_p:] = (sig[:n_p] - 1) / n_p, sig[n_p:] / len(u)
+        elif negative >= 0:
             grad[:n_p] = prior * (sig[:n_p] - 1 - sig[:n_p]) / n_p
             grad[n_p:] = sig[n_p:] / len(u)
         else:
@@ -142,19 +149,45 @@ def fit_model(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, weights)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2) -> float:
+    """The share of positives among unlabelled rows, from features of both."""
+    if min(len(positive), len(unlabelled)) < 2 * folds:
+        return 0.5
+    p_score, u_score = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(folds):
+        p_in, u_in = np.arange(len(positive)) % folds != k, np.arange(len(unlabelled)) % folds != k
+        # With a prior of 1/2 and the plain loss this is a classifier of one sample against the other.
+        model = fit_model(positive[p_in], unlabelled[u_in], 0.5, steps=200, seed=2 + k, plain=True)
+        p_score[~p_in], u_score[~u_in] = model.logits(positive[~p_in]), model.logits(unlabelled[~u_in])
+    cut = np.quantile(p_score, np.linspace(0.05, 0.9, 60))
+    p_share = 1 - np.searchsorted(np.sort(p_score), cut) / len(p_score)
+    u_share = 1 - np.searchsorted(np.sort(u_score), cut) / len(u_score)
+    noise = np.sqrt(np.maximum(u_share * (1 - u_share), 1e-9) / len(u_score)) / p_share
+    return float(np.clip((u_share / p_share + noise).min(), 0.02, 0.98))
+
+
+def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    try:
+        for texts in batches:
+            found = features(texts)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * N_FEATURES, pa.int32()), pa.array(found.ravel()))
+    finally:
+        release()
+
+
+def features_of(texts: DataFrame) -> np.ndarray:
+    """Features of a bounded sample, in the order of ids, computed where the texts are."""
+    rows = texts.select("doc_id", F.arrow_udf(_features, "array<double>")("text").alias("x")).toArrow().sort_by("doc_id")["x"].combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     train = learn.fold("doc_id", FOLDS) != 0
-    share = labels.where(train & F.col("quality").isNotNull()).agg(F.avg("quality").alias("m")).first()["m"]
-    prior = float(np.clip(0.5 if share is None else share, 0.02, 0.98))
-    ids = learn.labelled_ids(labels, "quality", 1, POSITIVES, train)
-    positive = learn.sorted_arrow(learn.texts_of(docs, ids))
-    rest = learn.sorted_arrow(learn.unlabelled_texts(docs, UNLABELLED, train))
-    if not len(positive) or not len(rest):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], prior if share is not None else 0.5)
-    rows = features(positive["text"]), features(rest["text"])
-    del positive, rest
-    release()
-    return fit_model(*rows, prior)
+    positive = features_of(learn.texts_of(docs, learn.labelled_ids(labels, "quality", 1, POSITIVES, train)))
+    if not len(positive):
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], 0.5)
+    unlabelled = features_of(learn.any_texts(docs, UNLABELLED, train))
+    return fit_model(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def score_column(model: Model, text: Column) -> Column:

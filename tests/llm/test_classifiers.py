@@ -61,15 +61,47 @@ def test_risk_is_not_negative_in_its_second_part():
     assert quality.nn_risk(np.array([-9.0]), np.array([-30.0]), 0.9) == pytest.approx(0.9 * np.log1p(np.exp(9.0)), rel=1e-6)
 
 
-def test_label_model_discounts_copies_of_a_voter():
+def test_label_model_learns_voters_and_corrects_labels():
+    """Voters of known rates, one copied voter, and labels of which 7 in 100 are wrong: rates and accuracies are found, the
+    copy is seen as correlated, and the posteriors are nearer to the truth than the labels."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 2000)
-    good = ((y == 1) & (rng.random(2000) < 0.7)).astype(float)
-    noise = (rng.random(2000) < 0.3).astype(float)
-    q, on, off = toxicity.label_model(np.stack([good, noise, noise, noise], 1), y.astype(float))
-    assert ((q > 0.5) == y).mean() > 0.95
-    assert on[0] > 10 * off[0]
-    assert abs(on[1] - off[1]) < 0.1
+    n = 6000
+    y = (rng.random(n) < 0.4).astype(int)
+    on, off = np.array([0.7, 0.6, 0.5, 0.4, 0.65, 0.3]), np.array([0.02, 0.05, 0.01, 0.03, 0.1, 0.3])
+    votes = (rng.random((n, 6)) < np.where(y[:, None] == 1, on, off)).astype(float)
+    copy = np.where(rng.random(n) < 0.95, votes[:, 5], 0)
+    labels = np.where(rng.random(n) < 0.07, 1 - y, y)
+    found = toxicity.label_model(np.hstack([votes, copy[:, None]]), labels.astype(float))
+    assert np.abs(found.on_toxic[:6] - on).max() < 0.05
+    assert np.abs(found.on_clean[:6] - off).max() < 0.05
+    assert found.tied[5, 6] > 0.8
+    assert np.abs(found.tied[:5, :5]).max() < toxicity.TIED
+    assert abs(found.label_toxic - 0.93) < 0.03
+    assert abs(found.label_clean - 0.93) < 0.03
+    assert ((found.posterior > 0.5) == y).mean() > (labels == y).mean() + 0.02
+
+
+def test_class_prior_of_a_known_mixture():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.85):
+        positive = rng.normal(1.5, 1, (1500, 4))
+        mixed = np.where(rng.random((3000, 1)) < prior, rng.normal(1.5, 1, (3000, 4)), rng.normal(-1.5, 1, (3000, 4)))
+        assert abs(quality.class_prior(positive, mixed) - prior) < 0.06
+
+
+def test_very_long_texts_are_learned_from(spark):
+    """A text of over two million bytes is a training text like any other."""
+    long = "dreadful vermin wording " * 90_000
+    rows = [(k, (long if k == 0 else f"vermin wording here {k}") if k % 2 else f"good plain words {k}") for k in range(60)] + [(1001, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(1001,), (2,)], "doc_id long")
+    from quillspan.llm import learn
+
+    assert {r["doc_id"]: len(r["text"]) for r in learn.texts_of(docs, ids).collect()} == {1001: len(long), 2: len(rows[2][1])}
+    assert quality.features_of(learn.texts_of(docs, ids)).shape == (2, quality.N_FEATURES)
+    labels = docs.select("doc_id", (F.col("text").contains("vermin")).cast("int").alias("toxic"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.classify(spark, docs, labels).collect()}
+    assert scores[1001] > scores[2]
 
 
 def test_keep_good_keeps_columns(spark, edges):
