@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.sources.shared import materialise
+from quillspan.sources.shared import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -29,7 +29,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
         new = low.join(far, "low", "left").select("node", F.least("low", "jump").alias("label"), "was")
         new = materialise(spark, new, "labels")
         moved = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
+        discard(spark, held)
+        held, labels = new, new.select("node", "label")
         if not moved:
+            discard(spark, both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

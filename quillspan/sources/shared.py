@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "file:///tmp/checkpoints/quillspan"
 
 
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever is reached first (one longer row is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 1000, "32m"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once for each application; executors fetch it from the driver.
 
-    Texts are long, so Arrow batches are held to ``ARROW_ROWS`` rows.
+    Texts are long, so Arrow batches are held to ``ARROW_ROWS`` rows and ``ARROW_BYTES``.
     """
     context = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(context, "_quillspan_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -70,12 +72,24 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts lineage in a way that survives lost executors: Spark's committer publishes whole files only,
-    and every executor can read them. The files go when the driver ends.
+    and every executor can read them. The files go with ``discard``, or
+    when the driver ends.
     """
     path = f"{shared_dir(spark)}/quillspan-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspan_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete tables of ``materialise`` that nothing will read again (other frames are left alone)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        if path := getattr(df, "_quillspan_path", None):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
