@@ -1,10 +1,15 @@
 """Operator 8, mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Only DataFrame and SQL functions run here. Documents are summed to cells of (source, lang, topic); the cells' token weights
-are raked in turn to the target shares of each of the three marginals, ``SWEEPS`` times. A target share is the present share
-raised to an exponent below 1 and normalised, which lifts small groups; other targets can be given as tables. A cell's
-weight is its raked tokens over its tokens. A document is kept with probability ``min(1, rate * weight)``; the rate is
-chosen so that the expected tokens are ``BUDGET`` of all. The draw is a digest of the id, so a rerun keeps the same rows.
+are raked in turn to the target shares of each of the three marginals, ``SWEEPS`` times and on until every marginal is
+within ``RESIDUAL`` of its target (or ``MOST_SWEEPS`` are done: contradictory targets have no solution; ``margins`` shows
+what is left). Targets are tables ``margin, target``; without them a target share is the present share raised to an
+exponent below 1 and normalised, which lifts small groups. Groups without a target keep their tokens. A cell's weight is its
+raked tokens over its tokens. A document is kept with probability ``min(1, rate * weight)``; the rate is chosen so that the
+expected tokens are ``BUDGET`` of all. The draw is a digest of the id, so a rerun keeps the same rows.
+
+Up to ``FEW_CELLS`` cells (counted) are raked in one partition, where a sweep is window sums without a shuffle; more stay
+distributed, where each sum is an exchange.
 
 A cell at probability 1 falls short of its raked tokens, so these probabilities miss the targets where cells are scarce.
 ``calibrate`` rakes the probabilities themselves: the shortfall goes to the free cells of the same groups, and a group whose
@@ -19,17 +24,23 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
+from quillspan.sources.shared import materialise, sized_broadcast, small_enough, text_or_empty
 
 MARGINS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-SWEEPS, RATE_ROUNDS, BUDGET = 8, 6, 0.8
+SWEEPS, MOST_SWEEPS, RESIDUAL, BUDGET = 8, 64, 1e-4, 0.8
+#: Sweeps that are one plan; the cells are written after each.
+AT_ONCE = 4
+#: Rounds after which the SQL's rate stands still (here it runs until it does).
+RATE_ROUNDS = 6
 #: Sweeps over the probabilities, which the bound of 1 slows down.
 BOUND_SWEEPS = 16
-#: Cells that may be broadcast to the documents; beyond it the join shuffles.
-BROADCAST_CELLS = 100_000
+#: Cells that are raked in one partition and may be broadcast to the documents; beyond it both shuffle.
+FEW_CELLS = 100_000
 #: Topic, character and the least share of it in a text, in order of precedence.
 LAYOUTS = [("tabular", "|", 0.02), ("emphatic", "!", 0.05), ("symbolic", "&", 0.01)]
 
@@ -59,29 +70,63 @@ def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
     return raised.join(F.broadcast(total)).select(margin, (F.col("raised") / F.col("all_raised")).alias("target"))
 
 
-def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` with ``raked``: tokens whose marginals approach the targets. Each sweep is written, which keeps plans short."""
-    now = cells.withColumn("raked", F.col("tokens").cast("double"))
-    total = now.agg(F.sum("raked").alias("all_tokens"))
-    for _ in range(sweeps):
-        for margin, target in targets.items():
-            sums = now.groupBy(margin).agg(F.sum("raked").alias("own"))
-            scale = sums.join(target, margin).join(F.broadcast(total)).select(margin, (F.col("target") * F.col("all_tokens") / F.col("own")).alias("scale"))
-            now = now.join(scale, margin, "left").withColumn("raked", F.col("raked") * F.coalesce("scale", F.lit(1.0))).drop("scale")
-        now = materialise(spark, now, "raked")
-    return now
+def _with_targets(cells: DataFrame, targets: dict[str, DataFrame], name: str) -> DataFrame:
+    """``cells`` with a column ``name_margin`` for each margin; null where a group has no target."""
+    for margin, target in targets.items():
+        cells = cells.join(target.select(margin, F.col(name).alias(f"{name}_{margin}")), margin, "left")
+    return cells
+
+
+def together(cells: DataFrame) -> DataFrame:
+    """``cells`` in one partition if they are few."""
+    return cells.coalesce(1) if small_enough(cells, FEW_CELLS) else cells
+
+
+def _sum_of(column: str | Column, margin: str) -> Column:
+    return F.sum(column).over(Window.partitionBy(margin))
+
+
+def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``cells`` with ``raked``: tokens whose marginals are the targets, or as near as they get."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    now = _with_targets(cells.withColumn("raked", F.col("tokens").cast("double")), targets, "target")
+    for done in range(SWEEPS, MOST_SWEEPS + 1, SWEEPS):
+        for k in range(SWEEPS):
+            now = together(now) if k % AT_ONCE == 0 else now
+            for margin in targets:
+                wanted = F.col(f"target_{margin}") * F.lit(float(total)) / _sum_of("raked", margin)
+                now = now.withColumn("raked", F.col("raked") * F.coalesce(wanted, F.lit(1.0)))
+            now = materialise(spark, now, "raked") if k % AT_ONCE == AT_ONCE - 1 else now
+        if done == MOST_SWEEPS or not total or residual(now, targets, "raked") <= RESIDUAL:
+            break
+    return now.drop(*[f"target_{m}" for m in targets])
+
+
+def margins(cells: DataFrame, targets: dict[str, DataFrame], mass: str = "raked") -> DataFrame:
+    """``margin, name, target, share``: what each group should have, and its share of ``mass``."""
+    total = cells.agg(F.sum(mass).alias("all_mass"))
+    out = [
+        cells.groupBy(m).agg(F.sum(mass).alias("own")).join(t, m).join(F.broadcast(total)).select(F.lit(m).alias("margin"), F.col(m).alias("name"), "target", (F.col("own") / F.col("all_mass")).alias("share"))
+        for m, t in targets.items()
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
-def rate_of(cells: DataFrame, budget: float = BUDGET, rounds: int = RATE_ROUNDS) -> float:
+def residual(cells: DataFrame, targets: dict[str, DataFrame], mass: str = "raked") -> float:
+    """The largest gap between a group's share and its target."""
+    return margins(cells, targets, mass).agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0] or 0.0
+
+
+def rate_of(cells: DataFrame, budget: float = BUDGET) -> float:
     """The factor on weights whose capped probabilities keep ``budget`` of the tokens in expectation."""
-    rate = budget
-    for _ in range(rounds):
+    rate, full_tokens = budget, -1
+    while True:  # each round caps more cells or ends
         full = F.col("weight") * rate >= 1
         row = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("weight"))).alias("rest")).first()
-        if not row["all"] or not row["rest"]:
-            break
-        rate = max(budget * row["all"] - (row["full"] or 0), 0.0) / row["rest"]
-    return rate
+        if not row["all"] or not row["rest"] or (row["full"] or 0) == full_tokens:
+            return rate
+        full_tokens = row["full"] or 0
+        rate = max(budget * row["all"] - full_tokens, 0.0) / row["rest"]
 
 
 def reachable(spark: SparkSession, cells: DataFrame, margin: str, target: DataFrame, budget: float) -> DataFrame:
@@ -98,19 +143,20 @@ def bound(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame],
     In each group the free cells are scaled to what the capped ones leave of its mass; all are, if these alone exceed it.
     """
     masses = {m: reachable(spark, cells, m, t, budget) for m, t in targets.items()}
-    now = cells.withColumn("chance", F.col("weight") * rate)
-    full, free = F.when(F.col("chance") >= 1, F.col("tokens")).otherwise(0), F.when(F.col("chance") < 1, F.col("chance") * F.col("tokens")).otherwise(0.0)
-    for _ in range(sweeps):
-        for margin, mass in masses.items():
-            sums = now.groupBy(margin).agg(F.sum(full).alias("full"), F.sum(free).alias("free"))
-            left = F.col("mass") - F.col("full")
-            scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(left < 0, F.col("mass") / (F.col("full") + F.col("free"))).otherwise(1.0)
+    now = _with_targets(cells.withColumn("chance", F.col("weight") * rate), masses, "mass")
+    names = now.columns
+    for done in range(sweeps):
+        now = together(materialise(spark, now, "bound") if done else now)
+        for margin in masses:
+            full, free = F.when(F.col("chance") >= 1, F.col("tokens")).otherwise(0), F.when(F.col("chance") < 1, F.col("chance") * F.col("tokens")).otherwise(0.0)
+            now = now.select(*names, _sum_of(full, margin).alias("full"), _sum_of(free, margin).alias("free"))
+            mass = F.col(f"mass_{margin}")
+            left = mass - F.col("full")
+            scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(left < 0, mass / (F.col("full") + F.col("free"))).otherwise(1.0)
             # Chances above 1 count as 1 when their group has too much, or they would stay above it.
-            now = now.join(sums.join(mass, margin).select(margin, scale.alias("scale"), (left < 0).alias("over")), margin, "left")
-            held = F.when(F.col("over"), F.least(F.lit(1.0), "chance")).when(F.col("chance") >= 1, F.col("chance") / F.col("scale")).otherwise(F.col("chance"))
-            now = now.withColumn("chance", F.coalesce(held * F.col("scale"), "chance")).drop("scale", "over")
-        now = materialise(spark, now, "bound")
-    return now
+            held = F.when(left < 0, F.least(F.lit(1.0), "chance") * scale).when(F.col("chance") >= 1, F.col("chance")).otherwise(F.col("chance") * scale)
+            now = now.withColumn("chance", F.coalesce(F.when(mass.isNotNull(), held), "chance")).select(*names)
+    return materialise(spark, now, "bound").drop(*[f"mass_{m}" for m in masses])
 
 
 def draw(id_col: Column) -> Column:
@@ -127,7 +173,7 @@ def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     weighed = materialise(spark, raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)), "weights")
     rate = rate_of(weighed, budget)
     chance = bound(spark, weighed, found, rate, budget) if calibrate else weighed.withColumn("chance", F.col("weight") * rate)
-    small = sized_broadcast(chance.select(*MARGINS, "weight", "chance"), BROADCAST_CELLS)
+    small = sized_broadcast(chance.select(*MARGINS, "weight", "chance"), FEW_CELLS)
     rows = measured(docs, id_col, text_col, keep).join(small, list(MARGINS))
     rows = rows.withColumn("probability", F.least(F.lit(1.0), "chance")).drop("chance")
     return rows.withColumn("kept", (draw(F.col("doc_id")) < F.col("probability")).cast("int"))

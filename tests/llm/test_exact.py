@@ -323,6 +323,22 @@ def test_sample_meets_reachable_margins(spark):
         assert np.allclose(got / own.sum(), mass / own.sum(), atol=0.005)
 
 
+def test_given_and_unreachable_targets(spark):
+    """Given targets are met to the residual; contradictory ones end with what is left shown; a group without a target stays."""
+    rows = [("a", "en", "p", 50), ("a", "es", "p", 10), ("b", "en", "p", 20), ("b", "es", "p", 20), ("", "es", "p", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    table = lambda name, shares: spark.createDataFrame(list(shares.items()), f"{name} string, target double")
+    targets = {"source": table("source", {"a": 0.3, "b": 0.7}), "lang": table("lang", {"en": 0.5, "es": 0.5}), "topic": table("topic", {"p": 1.0})}
+    raked = mixing.rake(spark, cells, targets)
+    assert mixing.residual(raked, targets) <= mixing.RESIDUAL
+    assert {(r["margin"], r["name"]) for r in mixing.margins(raked, targets).collect()} == {("source", "a"), ("source", "b"), ("lang", "en"), ("lang", "es"), ("topic", "p")}
+    only = cells.where("NOT (source = 'a' AND lang = 'es') AND NOT (source = 'b' AND lang = 'en')")
+    apart = mixing.rake(spark, only, {"source": table("source", {"a": 0.3, "b": 0.7}), "lang": table("lang", {"en": 0.6, "es": 0.4})})
+    assert mixing.residual(apart, {"source": table("source", {"a": 0.3, "b": 0.7})}) > 0.05
+    one = mixing.rake(spark, cells, {"source": table("source", {"a": 0.3})}).collect()
+    assert {r["raked"] for r in one if r["source"] == "b"} == {20.0}
+
+
 def test_mixing_edge_rows(spark, edges):
     holes = edges.withColumn("source", F.when(F.col("doc_id") > 4, F.col("source"))).withColumn("lang", F.lit(None).cast("string"))
     rows = mixing.weigh(spark, holes).collect()
