@@ -22,6 +22,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str = "src"
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(spark, both, "edges")
     labels = materialise(spark, both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    held = labels
     for _ in range(MAX_ROUNDS):
         near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("was"))
