@@ -13,7 +13,13 @@ as many rounds as the longest has bytes, each over the whole collection, so the
    column's order and common prefixes stay in memory. Windows whose common prefix reaches 400 bytes are repeated.
 3. Repeated windows are carried to all places of their fragments and merged to runs.
 
-Matches use whole content; hashes (64 bits, of anchors and fragments) only group it. Strings are judged on the input.
+Fragments count as equal if 64-bit hashes of their anchor and of their content both agree, copies of texts by their MD5; in
+the rounds, bytes are compared. Strings are judged on the input.
+
+400 bytes are about 63 words here, so a passage of 51 to 62 words that repeats is not removed by the rule. A further column,
+``shared_passage``, marks the texts that hold a run of at least ``PASSAGE`` words that another document holds too, whatever
+its bytes: windows of so many words go by the same principle, an anchor of ``GRAM_WORDS`` words first, and only windows
+around anchors of two texts are compared, by 64-bit hashes.
 
 Defined results: null and empty texts have 0 bytes; texts under 400 bytes lose nothing; a text of at least 400 bytes that
 occurs twice, also as a repeated row, loses all; null ids stay; an empty table gives no rows; other columns are ignored.
@@ -44,8 +50,12 @@ AT_ONCE = 4096
 #: Fragments of one anchor beyond which they are told apart by their cores.
 HOT = 1024
 #: Keys (8 or 16 bytes each) that may be broadcast to filter rows; beyond it the join shuffles.
-BROADCAST_KEYS = 2_000_000
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+BROADCAST_KEYS = 500_000
+OUT = "doc_id long, key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Words of a passage that is marked wherever it repeats across documents, and of its anchor.
+PASSAGE, GRAM_WORDS = 51, 8
+#: What separates words, as a Java pattern.
+WHITE = "[\\t\\n\\x0b\\f\\r ]+"
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -211,7 +221,59 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def word_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, anchor, hash`` of every run of ``PASSAGE`` words; equal runs have equal anchors (their least-hashed gram)."""
+    starts, ends, row = tv.words(data, offsets)
+    if len(starts) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    word = tv.span_hash(tv.prefix_sums(data), starts, ends)
+    scale = tv.powers(len(word) + 1)
+    sums = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * scale[:-1], out=sums[1:])
+    back = tv.powers(len(word) + 1, inverse=True)
+
+    def runs(size: int) -> np.ndarray:
+        return tv.mix((sums[size:] - sums[:-size]) * back[: len(word) - size + 1])
+
+    whole = row[: len(word) - PASSAGE + 1] == row[PASSAGE - 1 :]
+    anchor = _window_min(runs(GRAM_WORDS), PASSAGE - GRAM_WORDS + 1)
+    return row[: len(whole)][whole], anchor[whole], runs(PASSAGE)[whole]
+
+
+@tidy
+def _word_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, _, data, offsets in tv.chunks(batch.column("text")):
+            row, anchor, _ = word_windows(data, offsets)
+            row, anchor, _ = tv.multiset(row, anchor)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row + first)), pa.array(anchor.view(np.int64))], ["key", "anchor"])
+
+
+@tidy
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows around anchors that other texts have as well."""
+    for batch in batches:
+        lists = batch.column("anchors")
+        for first, last, data, offsets in tv.chunks(batch.column("text")):
+            wanted = np.unique(lists.slice(first, last - first).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+            row, anchor, window = word_windows(data, offsets)
+            some = np.isin(anchor, wanted)
+            row, window, _ = tv.multiset(row[some], window[some])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row + first)), pa.array(window.view(np.int64))], ["key", "window"])
+
+
+def shared_passages(spark: SparkSession, firsts: DataFrame) -> DataFrame:
+    """``key`` of the different texts (``key, text``) that hold a run of ``PASSAGE`` words of another text."""
+    rows = materialise(spark, firsts.mapInArrow(_word_anchors, "key binary, anchor long"), "word-anchors")
+    both = rows.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("anchor")
+    lists = rows.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    lists = sized_broadcast(materialise(spark, lists, "shared-anchors"), BROADCAST_KEYS // 10)
+    windows = materialise(spark, firsts.join(lists, "key").select("key", "text", "anchors").mapInArrow(_shared_windows, "key binary, window long"), "windows")
+    again = windows.groupBy("window").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("window")
+    return materialise(spark, windows.join(again, "window").select("key").distinct(), "passages")
 
 
 def intervals(spark: SparkSession, contents: DataFrame) -> DataFrame:
@@ -262,10 +324,15 @@ def intervals(spark: SparkSession, contents: DataFrame) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, shared_passage`` of every row."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     long = base.where(F.octet_length("text") >= LENGTH)
-    copies = materialise(spark, long.groupBy("key").count().where("count > 1").select("key"), "copies")
+    # One row stands for each different text where texts are read again (more only where none of them has an id).
+    many = materialise(spark, base.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1"), "copies")
+    copies = many.where(F.col("size") >= LENGTH).select("key")
+    few = sized_broadcast(many.select(F.col("key").alias("of"), "first"), BROADCAST_KEYS)
+    firsts = base.join(few, F.col("key") == F.col("of"), "left").where(F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "key", "text")
+    passages = shared_passages(spark, firsts.select("key", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1))
     rows = long.select("key", "text").mapInArrow(_anchor_rows, "key binary, place int, left int, size int, anchor long, fragment long, near long, far long")
     rows = materialise(spark, rows, "anchors")
 
@@ -281,7 +348,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     alive = sides.join(shared, ["anchor", "side", "h"]).select("anchor", "fragment").distinct()
     wanted = varied.join(alive, ["anchor", "fragment"]).groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", "at.place", "at.left", "at.size")).alias("wanted"))
     wanted = materialise(spark, wanted, "wanted")
-    some = base.select("key", "text").join(sized_broadcast(wanted.select("key"), BROADCAST_KEYS), "key", "left_semi")
+    some = firsts.select("key", "text").join(sized_broadcast(wanted.select("key"), BROADCAST_KEYS), "key", "left_semi")
     contents = some.join(wanted, "key").select("text", "wanted").mapInArrow(_contents, "anchor long, fragment long, left int, content binary")
     contents = materialise(spark, contents, "contents")
     found = intervals(spark, contents)
@@ -295,9 +362,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     # Only texts that lose a part meet their spans; all others need no more than their digest.
     sized = base.select("doc_id", "key", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    partly = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_semi").join(spans, "key").select("doc_id", "text", "spans").mapInArrow(_kept, OUT)
+    partly = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_semi").join(spans, "key").select("doc_id", "key", "text", "spans").mapInArrow(_kept, OUT)
     rest = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_anti").select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("own"))
     rest = rest.join(sized_broadcast(copies.withColumn("whole", F.lit(True)), BROADCAST_KEYS), "key", "left")
     gone = F.coalesce("whole", F.lit(False))
-    rest = rest.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("own")).alias("kept_sha256"))
-    return partly.unionByName(rest)
+    rest = rest.select("doc_id", "key", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("own")).alias("kept_sha256"))
+    # A text that occurs twice repeats as a whole, if it has so many words.
+    twice = firsts.join(sized_broadcast(many.select("key"), BROADCAST_KEYS), "key", "left_semi").where(F.size(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")) >= PASSAGE).select("key")
+    marked = sized_broadcast(materialise(spark, passages.union(twice).distinct().withColumn("shared_passage", F.lit(1)), "marked"), BROADCAST_KEYS)
+    return partly.unionByName(rest).join(marked, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shared_passage", F.lit(0)).alias("shared_passage"))

@@ -40,6 +40,11 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return _powers[key][:n]
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first ``n`` powers of the base of rolling hashes, or of its inverse."""
+    return _power(n, inverse)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -284,7 +284,27 @@ def test_repeats_against_brute_force(spark, words, monkeypatch, hot):
     df = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id long, text string, anchor string")
     found = sorted(map(tuple, repeats.remove_repeats(spark, df).collect()))
     expected = brute_repeats([(t or "").encode() for t in texts])
-    assert [f[1:] for f in found] == expected
+    assert [f[1:5] for f in found] == expected
+    assert [f[5] for f in found] == brute_passages(texts)
+
+
+def brute_passages(texts: list[str | None]) -> list[int]:
+    runs = [{tuple(w[k : k + 51]) for k in range(len(w) - 50)} for w in (re.split("[\t\n\x0b\f\r ]+", (t or "").strip("\t\n\x0b\f\r ")) for t in texts)]
+    held = Counter(r for x in runs for r in x)
+    return [int(any(held[r] > 1 for r in x)) for x in runs]
+
+
+def test_short_passages_are_marked(spark, words):
+    """Passages of 50 words are not marked, of 51 are, with short words (under 400 bytes, so that nothing is removed) too."""
+    texts = []
+    for size in (50, 51, 55):
+        passage = " ".join(w[:4] for w in words(size))
+        texts += [" ".join(words(n)) + " " + passage + "\n" + " ".join(words(30)) for n in (0, 20, 90)]
+    texts += [" ".join(words(120)) for _ in range(5)] + [" ".join(words(51))] * 2 + [" ".join(words(50))] * 2 + ["", None, "one"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_removed"], r["shared_passage"]) for r in repeats.remove_repeats(spark, df).collect())
+    assert [f[2] for f in found] == brute_passages(texts) == [0] * 3 + [1] * 6 + [0] * 5 + [1] * 2 + [0] * 5
+    assert not any(f[1] for f in found)
 
 
 def test_repeats_edge_rows(spark, edges):
