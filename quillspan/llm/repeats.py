@@ -54,8 +54,6 @@ BROADCAST_KEYS = 500_000
 OUT = "doc_id long, key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Words of a passage that is marked wherever it repeats across documents, and of its anchor.
 PASSAGE, GRAM_WORDS = 51, 8
-#: What separates words, as a Java pattern.
-WHITE = "[\\t\\n\\x0b\\f\\r ]+"
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -265,15 +263,17 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row + first)), pa.array(window.view(np.int64))], ["key", "window"])
 
 
-def shared_passages(spark: SparkSession, firsts: DataFrame) -> DataFrame:
-    """``key`` of the different texts (``key, text``) that hold a run of ``PASSAGE`` words of another text."""
+def shared_passages(spark: SparkSession, firsts: DataFrame, copies: DataFrame) -> DataFrame:
+    """``key`` of the different texts (``key, text``) that hold a run of ``PASSAGE`` words of another text, or any such run and
+    stand in ``copies`` (``key``)."""
     rows = materialise(spark, firsts.mapInArrow(_word_anchors, "key binary, anchor long"), "word-anchors")
     both = rows.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("anchor")
     lists = rows.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     lists = sized_broadcast(materialise(spark, lists, "shared-anchors"), BROADCAST_KEYS // 10)
     windows = materialise(spark, firsts.join(lists, "key").select("key", "text", "anchors").mapInArrow(_shared_windows, "key binary, window long"), "windows")
     again = windows.groupBy("window").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("window")
-    return materialise(spark, windows.join(again, "window").select("key").distinct(), "passages")
+    twice = rows.join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_semi").select("key")
+    return materialise(spark, windows.join(again, "window").select("key").union(twice).distinct(), "passages")
 
 
 def intervals(spark: SparkSession, contents: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     copies = many.where(F.col("size") >= LENGTH).select("key")
     few = sized_broadcast(many.select(F.col("key").alias("of"), "first"), BROADCAST_KEYS)
     firsts = base.join(few, F.col("key") == F.col("of"), "left").where(F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "key", "text")
-    passages = shared_passages(spark, firsts.select("key", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1))
+    passages = shared_passages(spark, firsts.select("key", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1), many.select("key"))
     rows = long.select("key", "text").mapInArrow(_anchor_rows, "key binary, place int, left int, size int, anchor long, fragment long, near long, far long")
     rows = materialise(spark, rows, "anchors")
 
@@ -367,7 +367,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     rest = rest.join(sized_broadcast(copies.withColumn("whole", F.lit(True)), BROADCAST_KEYS), "key", "left")
     gone = F.coalesce("whole", F.lit(False))
     rest = rest.select("doc_id", "key", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("own")).alias("kept_sha256"))
-    # A text that occurs twice repeats as a whole, if it has so many words.
-    twice = firsts.join(sized_broadcast(many.select("key"), BROADCAST_KEYS), "key", "left_semi").where(F.size(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")) >= PASSAGE).select("key")
-    marked = sized_broadcast(materialise(spark, passages.union(twice).distinct().withColumn("shared_passage", F.lit(1)), "marked"), BROADCAST_KEYS)
+    marked = sized_broadcast(passages.withColumn("shared_passage", F.lit(1)), BROADCAST_KEYS)
     return partly.unionByName(rest).join(marked, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shared_passage", F.lit(0)).alias("shared_passage"))
