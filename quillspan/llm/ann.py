@@ -8,17 +8,20 @@ spread times ``BOUND`` bounds the estimate. A query's candidates of a block are
 
 Every row is indexed; the centre is fitted on at most ``CENTRE_ROWS`` rows. The stated query set meets all codes block by
 block: queries are broadcast ``QUERY_ROWS`` at a time, codes stay where they are, and each task returns at most ``k`` rows
-a query. Of exact copies of a vector only the ``k + 1`` least ids can be among anyone's ``k`` nearest, so only those are
-scanned; that drops no result.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than the most frequent one (ties: the shortest), nor null ids; equal scores go to the smaller id; rows that repeat
-id and vector count once; fewer candidates give fewer rows; an empty table gives no rows; other columns are ignored.
+a query. Of exact copies of a vector only the ``k + 1`` least ids, ``k`` rows of each, can be among anyone's ``k`` nearest, so only
+those are scanned; that drops no result.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; a query
+meets the vectors of its own length, where inner products are defined; equal scores go to the smaller id; every other row is
+a candidate, so a row that repeats appears as often (a query that repeats asks once, and one whose id repeats with another
+vector asks with each and keeps the best of all); fewer candidates give fewer rows; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,7 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.single = vectors.astype(np.float32)
         moved = vectors.astype(np.float64) - centre
         self.turned = (moved @ turn).astype(np.float32)
         self.far = np.linalg.norm(moved, axis=1).astype(np.float32)
@@ -89,7 +93,7 @@ class Searcher:
         q, v = q[other], v[other]
         self.compared += len(q)
         # Single precision drops what is clearly below the floor; double precision decides the rest.
-        near = np.einsum("nd,nd->n", self.vectors[q], vectors[v]) >= floor[q] - self.rounding[q] * np.float32(np.abs(vectors).max(initial=0))
+        near = np.einsum("nd,nd->n", self.single[q], vectors.astype(np.float32)[v]) >= floor[q] - self.rounding[q] * np.float32(np.abs(vectors).max(initial=0))
         q, v = q[near], v[near]
         score = exact(self.vectors[q], vectors[v])
         cut = np.searchsorted(q, np.arange(len(self.ids) + 1))
@@ -108,30 +112,36 @@ class Searcher:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, vector`` of the rows that take part."""
-    taken = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
+    taken = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    taken = taken.where(~bad & F.exists("vector", lambda x: x != 0))
-    size = taken.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return taken.where(F.size("vector") == (size["n"] if size else 0)).distinct() if size else taken
+    return taken.where(~bad & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each id divisible by ``every`` its ``k`` nearest other rows."""
     taken = materialise(spark, usable(vectors, id_col, vector_col), "vectors")
-    sample = taken.orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS).toArrow()
-    out = "query_id long, vec_id long, score double"
-    if not len(sample):
+    sizes = sorted(r["n"] for r in taken.select(F.size("vector").alias("n")).distinct().collect())
+    found = [x for n in sizes for x in _found(spark, taken.where(F.size("vector") == n), n, k, every)]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = len(sample["vector"][0])
-    centre = _matrix(sample["vector"].combine_chunks(), size).astype(np.float64).mean(0)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _found(spark: SparkSession, taken: DataFrame, size: int, k: int, every: int) -> list[DataFrame]:
+    """Tables ``query_id, vec_id, score`` of at most ``k`` rows a query and task, for vectors of one length."""
+    sample = taken.orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS).toArrow()
+    centre = _matrix(sample["vector"].combine_chunks(), size).mean(0)
     turn = rotation(size)
 
     least = Window.partitionBy("vector").orderBy("id")
-    kept = taken.withColumn("copy", F.row_number().over(least)).where(F.col("copy") <= k + 1)
+    kept = taken.withColumn("copy", F.dense_rank().over(least)).where(F.col("copy") <= k + 1)
+    kept = kept.withColumn("again", F.row_number().over(Window.partitionBy("vector", "id").orderBy("copy"))).where(F.col("again") <= k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +149,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(bits), [None, pa.py_buffer(np.ascontiguousarray(bits).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), packed, pa.array(far), pa.array(held)], ["id", "vector", "bits", "far", "held"])
 
-    codes = materialise(spark, kept.select("id", "vector").mapInArrow(index, "id long, vector array<float>, bits binary, far float, held float"), "codes")
+    codes = materialise(spark, kept.select("id", "vector").mapInArrow(index, "id long, vector array<double>, bits binary, far float, held float"), "codes")
 
-    asked = taken.where(F.pmod("id", F.lit(every)) == 0)
+    asked = taken.where(F.pmod("id", F.lit(every)) == 0).distinct()
     parts = max(1, -(-asked.count() // QUERY_ROWS))
-    found = None
+    out = []
     for part in range(parts):
         some = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow().sort_by("id")
         if not len(some):
@@ -164,9 +174,5 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec
                 q, v, s = searcher.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        here = materialise(spark, codes.mapInArrow(scan, out), "near")
-        found = here if found is None else found.union(here)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        out.append(materialise(spark, codes.mapInArrow(scan, "query_id long, vec_id long, score double"), "near"))
+    return out

@@ -165,10 +165,25 @@ def test_nearest_edge_rows(spark):
     rows = [(0, v), (20, v), (20, v), (1, v), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 0.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0]), (7, [1.0, 1.0]), (None, v), (40, [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(spark, df).collect())
-    assert found == [(0, 1, 1), (0, 2, 20), (0, 3, 40), (20, 1, 0), (20, 2, 1), (20, 3, 40), (40, 1, 0), (40, 2, 1), (40, 3, 20)]
+    assert found == [(0, 1, 1), (0, 2, 20), (0, 3, 20), (0, 4, 40), (20, 1, 0), (20, 2, 1), (20, 3, 40), (40, 1, 0), (40, 2, 1), (40, 3, 20), (40, 4, 20)]
     assert ann.nearest(spark, df.limit(0)).count() == 0
 
 
+def test_nearest_in_double_precision_and_of_any_length(spark):
+    """Double vectors keep their precision; vectors of a rare length are searched among themselves; copies are whole."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(60)] + [(100 + k, [float(x) for x in rng.normal(size=2)]) for k in range(5)]
+    rows += [(20, [0.1, 0.2, 0.3])] + [(61, [0.3, 0.7, 0.1])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(spark, df).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        expected = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, v in rows if j == q for i, w in rows if i != q and len(v) == len(w)))[:20]
+        assert [i for i, _ in found[q]] == [i for _, i in expected]
+        assert np.abs(np.array([s for _, s in found[q]]) + [s for s, _ in expected]).max() < 1e-12
+
+
 def test_codes_bound_inner_products():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 64)).astype(np.float32)
