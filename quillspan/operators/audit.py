@@ -56,7 +56,7 @@ def notice(audit: str = "") -> Column:
     listed = lambda items, text, empty: F.when(F.size(items) > 0, F.array_join(F.transform(items, text), "\n")).otherwise(F.lit(empty))
     confidence = lambda l: F.coalesce(F.format_string(" (p=%.3f)", l["confidence"]), F.lit(""))
     parts = [
-        F.lit(f"# Tax Compliance Review Notice / {URDU_TITLE}\n"),
+        F.lit(f"# Profile for review / {URDU_TITLE}\n"),
         F.format_string("**Entity:** %d — %s, %s", c("entity_id"), c("display_name"), c("city")),
         F.format_string("**Deviation score:** %d/100 (forest %d, relational %d)\n", ml["deviation_score"], ml["deviation_score_if"], ml["gnn_score"]),
         F.lit("## 1. Why this profile was flagged"),

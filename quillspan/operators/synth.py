@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.normalize import CITIES
+from quillspan.sources.shared import materialise
 
 # Shares, rates and ranges.
 SEGMENTS = [("ordinary_compliant", 0.46), ("ordinary_nonfiler", 0.17), ("wealthy_compliant", 0.08), ("wealthy_nonfiler", 0.06), ("under_reporter", 0.18), ("proxy_pair", 0.05)]
@@ -143,12 +144,12 @@ def _typo(text: Column, rate: float, *salt: str | int) -> Column:
 
 
 def _name(columns: list[str], urdu: float, *salt: str | int) -> Column:
-    """Spellings three to one, an honorific at times, upper case at times, or Urdu."""
+    """Spellings three to one, an honorific at times, upper case at times, or Urdu; typing errors come on top."""
     roman = F.concat_ws(" ", *[F.get(F.split(c, " "), F.when(unit("spell", c, *salt, key="rid") < 0.75, 0).otherwise(1)) for c in columns])
     roman = F.when(unit("title", *salt, key="rid") < 0.07, F.concat(pick(["Mr. ", "Haji ", "Dr. "], "which", *salt, key="rid"), roman)).otherwise(roman)
     roman = F.when(unit("upper", *salt, key="rid") < 0.05, F.upper(roman)).otherwise(roman)
     script = F.concat_ws(" ", *[F.get(F.split(c, " "), 2) for c in columns])
-    return _typo(F.when(unit("urdu", *salt, key="rid") < urdu, script).otherwise(roman), NAME_TYPO, "name", *salt)
+    return F.when(unit("urdu", *salt, key="rid") < urdu, script).otherwise(roman)
 
 
 def _cnic(name: str) -> Column:
@@ -165,10 +166,12 @@ def _common(people: DataFrame, name: str, tag: str) -> DataFrame:
     """Rows of a registry (one a planned asset) with names, father, birth date and number as recorded."""
     rows = people.withColumn("rid", F.concat_ws(":", F.lit(name), "pid", "k"))
     missing = DOB_MISSING / 2 if name == "tax_returns" else DOB_MISSING
+    # A layer of its own: a typing error uses the spelling several times, which nested in one expression outgrows a method.
+    rows = rows.withColumns({"_spelled": _name(["first", "second", "last"], URDU_RATE[name], name), "_father": _name(["father", "father2", "father3"], 0.0, "f", name)})
     return rows.withColumns({
         "id": F.format_string(f"{tag}%07d%02d", F.col("pid"), F.col("k").cast("int")),
-        "shown": _name(["first", "second", "last"], URDU_RATE[name], name),
-        "father_name": F.when(unit("father", name, key="rid") < FATHER_MISSING, "").otherwise(_name(["father", "father2", "father3"], 0.0, "f", name)),
+        "shown": _typo(F.col("_spelled"), NAME_TYPO, "name", name),
+        "father_name": F.when(unit("father", name, key="rid") < FATHER_MISSING, "").otherwise(_typo(F.col("_father"), NAME_TYPO, "name", "f", name)),
         "shown_dob": F.when(unit("dob", name, key="rid") < missing, "").otherwise(F.col("dob")),
         "shown_cnic": _cnic(name),
         "shown_phone": F.when(unit("phone", name, key="rid") < PHONE_RATES.get(name, 0.0), F.when(unit("form", key="rid") < 0.5, F.col("phone")).otherwise(F.concat(F.lit("+92"), F.substring("phone", 2, 20)))).otherwise(""),
@@ -204,7 +207,7 @@ def registries(people: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, Data
 
 def generate(spark: SparkSession, folder: str, n: int = 10_000, seed: int = 42, csv: bool = False) -> None:
     """Observable tables and, apart from them, the truth."""
-    tables, links, persons = registries(population(spark, n, seed))
+    tables, links, persons = registries(materialise(spark, population(spark, n, seed), "population"))
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         writer.csv(f"{folder}/observable/{name}.csv", header=True) if csv else writer.parquet(f"{folder}/observable/{name}.parquet")

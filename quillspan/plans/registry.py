@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -432,7 +433,7 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th customer scored again on the frozen bundle, read back from the shared folder."""
     features = materialise(spark, B.customer_features(spark, sf_dir), "features")
     _, bundle = scoring.score(spark, features)
-    path = f"{shared_dir(spark)}/quillspan-bundle"
+    path = f"{shared_dir(spark)}/quillspan-bundle-{uuid.uuid4().hex[:12]}"
     bundle.save(spark, path)
     people = features.where("entity_id % 50 = 0").withColumnRenamed("entity_id", "person").select("person", *X.DEFAULTS)
     return scoring.score_people(people, scoring.Bundle.load(spark, path))
@@ -441,7 +442,7 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolved_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1, S12, J1-J4, M1, M2, Q1-Q7, G1-G4, W5, W6 end to end: a generated population resolved to entities, with its scorecard."""
-    tables, links, _ = synth.registries(synth.population(spark, 400))
+    tables, links, _ = synth.registries(materialise(spark, synth.population(spark, 400), "population"))
     held = {k: materialise(spark, v, k) for k, v in tables.items()}
     records = materialise(spark, R.unified(held), "records")
     mentions, _ = resolve.resolve(spark, records)
