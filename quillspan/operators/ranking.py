@@ -12,15 +12,41 @@ from pyspark.sql import functions as F
 from quillspan.sources.shared import materialise
 
 
+def numbered(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """``name, value, n, before, total`` of distinct ``name, value, n``: rows below the value and all rows, for each name."""
+    parts = materialise(spark, counts.repartitionByRange("name", "value").withColumn("part", F.spark_partition_id()), "values")
+    sums = parts.groupBy("name", "part").agg(F.sum("n").alias("held"), F.min("value").alias("least"))
+    whole, below = Window.partitionBy("name"), Window.partitionBy("name").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("name", "part", F.coalesce(F.sum("held").over(below), F.lit(0)).alias("offset"), F.sum("held").over(whole).alias("total"))
+    inside = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), ["name", "part"])
+    return placed.select("name", "value", "n", (F.col("inner") + F.col("offset")).alias("before"), "total")
+
+
 def numbered_values(spark: SparkSession, df: DataFrame, value: str) -> DataFrame:
     """``value, n, before, total``: each distinct non-null value, its rows, rows below it, and all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    parts = materialise(spark, counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "values")
-    sums = parts.groupBy("part").agg(F.sum("n").alias("held"), F.min(value).alias("least"))
-    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"), F.sum("held").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "part").select(value, "n", (F.col("inner") + F.col("offset")).alias("before"), "total")
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    return numbered(spark, counts.select(F.lit(value).alias("name"), "value", "n")).select(F.col("value").alias(value), "n", "before", "total")
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``name, value, n`` of the distinct non-null values of some columns, as doubles, from one pass over the rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    return df.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+def _attach(df: DataFrame, places: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """``df`` with the ``place`` of each column's value (``name, value, place``) under its new name."""
+    for column, out in outs.items():
+        own = places.where(F.col("name") == column).select(F.col("value").alias(f"_v_{out}"), F.col("place").alias(out))
+        df = df.join(own, F.col(column).cast("double") == F.col(f"_v_{out}"), "left").drop(f"_v_{out}")
+    return df
+
+
+def percent_rank_columns(spark: SparkSession, df: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """W1 for several columns (column -> new column), whose values are ordered together in one shuffle."""
+    place = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total")
+    return _attach(df, materialise(spark, numbered(spark, value_counts(df, list(outs))).select("name", "value", place.alias("place")), "places"), outs)
 
 
 def percent_rank_average(spark: SparkSession, df: DataFrame, value: str, out: str) -> DataFrame:
@@ -29,9 +55,16 @@ def percent_rank_average(spark: SparkSession, df: DataFrame, value: str, out: st
     return df.join(places, value, "left").select(*df.columns, out)
 
 
-def share_at_most(population: DataFrame, value: str, x: Column) -> Column:
-    """The share of a population that is at most ``x``, as an aggregate to use over a join."""
-    return F.avg((F.col(value) <= x).cast("double"))
+def shares_at_most(spark: SparkSession, population: DataFrame, people: DataFrame, outs: dict[str, str]) -> DataFrame:
+    """``people`` with, for each column (column -> new column), the share of a population that is at most as large.
+
+    Wanted values join the population's distinct values with no rows of their own, so one ordered pass places both; a null
+    value and an empty population have a null share.
+    """
+    wanted = value_counts(people, list(outs)).select("name", "value", F.lit(0).cast("long").alias("n"))
+    counts = value_counts(population, list(outs)).unionByName(wanted).groupBy("name", "value").agg(F.sum("n").alias("n"))
+    place = (F.col("before") + F.col("n")) / F.nullif(F.col("total"), F.lit(0))
+    return _attach(people, materialise(spark, numbered(spark, counts).select("name", "value", place.alias("place")), "places"), outs)
 
 
 def align(spark: SparkSession, df: DataFrame, source: str, reference: str, out: str) -> DataFrame:

@@ -22,6 +22,13 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.join(clusters.groupBy("entity_id").agg(F.count("*").cast("int").alias("cluster_size")), "entity_id").select("record_id", "entity_id", "cluster_size")
 
 
+def population_counts(mentions: DataFrame, features: DataFrame) -> DataFrame:
+    """One row ``n_records, n_entities, n_non_filers``; an entity without a filer flag files nothing."""
+    entities = mentions.agg(F.count("*").alias("n_records"), F.count_distinct("entity_id").alias("n_entities"))
+    filing = features.agg(F.count_if(F.coalesce(F.col("is_filer").cast("int"), F.lit(0)) == 0).alias("n_non_filers"))
+    return entities.join(F.broadcast(filing))
+
+
 def resolve(spark: SparkSession, records: DataFrame, feedback: DataFrame | None = None, embed: Embedder | None = hashed_ngrams) -> tuple[DataFrame, Linked]:
     """``mentions`` and the last tier's state; without an embedder the second tier is left out."""
     state = tier1(spark, records, feedback)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import income as X
 from quillspan.operators import forest as iso
-from quillspan.operators.ranking import align, percent_rank_average
+from quillspan.operators.ranking import align, percent_rank_columns, shares_at_most
 from quillspan.sources.registries import exists
 from quillspan.sources.shared import materialise
 
@@ -61,23 +61,22 @@ def score(spark: SparkSession, features: DataFrame) -> tuple[DataFrame, Bundle]:
     ends = scored.agg(*[f(f"_{n}").alias(f"{n}_{k}") for n in bounds for k, f in (("low", F.min), ("high", F.max))]).first()
     for name in bounds:
         scored = scored.withColumn(f"_{name}", F.bround(minmax(F.col(f"_{name}"), ends[f"{name}_low"] or 0.0, ends[f"{name}_high"] or 0.0), 1))
-    for ratio in RATIOS:
-        scored = percent_rank_average(spark, scored, ratio, f"_p_{ratio}")
+    scored = percent_rank_columns(spark, scored, {r: f"_p_{r}" for r in RATIOS})
     trail = X.audit_trail({r: F.col(f"_p_{r}") for r in RATIOS})
     long = lambda c: F.col(c).cast("long")
     out = scored.select("entity_id", F.col("_all").alias("deviation_score"), F.col("_own").alias("deviation_score_own"), long("implied_income").alias("implied_income"), long("declared_income").alias("declared_income"), long("tax_paid").alias("tax_paid"), F.col("is_filer").cast("int").alias("is_filer"), long("network_nonfiler_asset_value").alias("network_nonfiler_assets"), F.col("network_neighbor_count").cast("int").alias("network_neighbors"), F.to_json(trail).alias("audit_trail"))
     return materialise(spark, out, "scores"), Bundle(bounds["all"], ends["all_low"] or 0.0, ends["all_high"] or 0.0, people.select("entity_id", *X.MODEL_FEATURES))
 
 
-def score_people(people: DataFrame, bundle: Bundle, key: str = "person") -> DataFrame:
+def score_people(spark: SparkSession, people: DataFrame, bundle: Bundle, key: str = "person") -> DataFrame:
     """M6: any number of people on the frozen model; scores are clipped to 0..100. Percentiles are shares of the population
-    at most as large (W2), from one pass that meets each person with the population's counts."""
+    at most as large (W2), from cumulative counts of both; no person meets the population."""
     rows = X.engineer(X.feature_row(people))
     rows = rows.withColumn("deviation_score", F.bround(F.least(F.greatest(minmax(iso.anomaly(bundle.forest, _inputs(bundle.forest.features)), bundle.low, bundle.high), F.lit(0.0)), F.lit(100.0)), 1))
-    # The stated people meet the population once; each keeps one row of shares.
-    shares = F.broadcast(rows.select(key, *[F.col(r).alias(f"x_{r}") for r in RATIOS])).join(bundle.population.select(*RATIOS)).groupBy(key).agg(*[F.avg((F.col(r) <= F.col(f"x_{r}")).cast("double")).alias(f"_p_{r}") for r in RATIOS])
+    rows = materialise(spark, rows, "people")
+    rows = shares_at_most(spark, bundle.population, rows, {r: f"_p_{r}" for r in RATIOS})
     trail = X.audit_trail({r: F.col(f"_p_{r}") for r in RATIOS})
-    return rows.join(shares, key).select(key, "deviation_score", X.verdict(F.col("deviation_score")).alias("verdict"), "implied_income", "declared_income", trail.alias("audit_trail"))
+    return rows.select(key, "deviation_score", X.verdict(F.col("deviation_score")).alias("verdict"), "implied_income", "declared_income", trail.alias("audit_trail"))
 
 
 def ensemble(spark: SparkSession, scores: DataFrame, relational: DataFrame | None, weight: float = IF_WEIGHT) -> DataFrame:

@@ -206,10 +206,10 @@ def registries(people: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, Data
 
 
 def generate(spark: SparkSession, folder: str, n: int = 10_000, seed: int = 42, csv: bool = False) -> None:
-    """Observable tables and, apart from them, the truth."""
+    """Observable tables, each in an order that tells nothing of the people, and, apart from them, the truth."""
     tables, links, persons = registries(materialise(spark, population(spark, n, seed), "population"))
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        writer = df.orderBy(F.xxhash64(df.columns[0], F.lit(seed)), df.columns[0]).write.mode("overwrite")
         writer.csv(f"{folder}/observable/{name}.csv", header=True) if csv else writer.parquet(f"{folder}/observable/{name}.parquet")
     links.write.mode("overwrite").parquet(f"{folder}/truth/record_linkage.parquet")
     persons.write.mode("overwrite").parquet(f"{folder}/truth/persons.parquet")

@@ -11,7 +11,7 @@ from quillspan.sources.shared import materialise, ship
 
 
 def run(spark: SparkSession, observable: str, feedback: str | None = None, relational_model: bool = True) -> dict[str, DataFrame | object]:
-    """All derived tables by name, and the linkage model and score bundle."""
+    """All derived tables by name, and the linkage model and score bundle; each table is also a view ``quillspan_<name>``."""
     ship(spark)
     tables = R.read_all(spark, observable)
     records = materialise(spark, R.unified(tables), "records")
@@ -23,4 +23,8 @@ def run(spark: SparkSession, observable: str, feedback: str | None = None, relat
     final = materialise(spark, scoring.ensemble(spark, scores, related), "final")
     floors = materialise(spark, audit.entity_floors(features, mentions), "floors")
     audits = audit.audits(final, floors, mentions, R.field_index(tables), state.evidence)
-    return {"records": records, "index": block_index(records), "mentions": mentions, "evidence": state.evidence, "features": features, "edges": links, "scores": final, "floors": floors, "audits": audits, "model": state.model, "bundle": bundle}
+    out = {"records": records, "index": block_index(records), "mentions": mentions, "evidence": state.evidence, "features": features, "edges": links, "scores": final, "floors": floors, "audits": audits, "model": state.model, "bundle": bundle}
+    for name, value in out.items():
+        if isinstance(value, DataFrame):
+            value.createOrReplaceTempView(f"quillspan_{name}")
+    return out

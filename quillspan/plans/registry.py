@@ -195,11 +195,11 @@ def near_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS m, c_custkey AS o, unnest(['N:' || c_nationkey || '|' || c_mktsegment, 'B:' || CAST(floor(c_acctbal / 10) AS BIGINT), 'W:' || c_nationkey]) AS k FROM customer),
-    f AS (SELECT k FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)
+    f AS (SELECT k FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 250)
     SELECT DISTINCT x.m AS a, y.m AS b FROM p x JOIN f USING (k) JOIN p y USING (k) WHERE x.o < y.o""")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three key families, one of which is always oversize."""
-    return blocking.pairs_of_blocks(_customer_blocks(spark, sf_dir), member="m", order="o", cap=40)
+    """J1 on three key families, under the surveyed engine's limit of members a block."""
+    return blocking.pairs_of_blocks(_customer_blocks(spark, sf_dir), member="m", order="o")
 
 
 def _customer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,10 +208,10 @@ def _customer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT c_custkey AS m, unnest(['N:' || c_nationkey || '|' || c_mktsegment, 'B:' || CAST(floor(c_acctbal / 10) AS BIGINT), 'W:' || c_nationkey]) AS k FROM customer), s AS (SELECT k, count(*) AS n FROM p GROUP BY 1)
-    SELECT count(*) AS n_blocks, count(*) FILTER (n > 40) AS skipped_oversize_blocks, CAST(sum(CASE WHEN n <= 40 THEN n * (n - 1) // 2 ELSE 0 END) AS BIGINT) AS block_pairs FROM s""")
+    SELECT count(*) AS n_blocks, count(*) FILTER (n > 250) AS skipped_oversize_blocks, CAST(sum(CASE WHEN n <= 250 THEN n * (n - 1) // 2 ELSE 0 END) AS BIGINT) AS block_pairs FROM s""")
 def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A30."""
-    return blocking.block_stats(_customer_blocks(spark, sf_dir), member="m", cap=40)
+    return blocking.block_stats(_customer_blocks(spark, sf_dir), member="m")
 
 
 @query("SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
@@ -390,14 +390,14 @@ def every_twelfth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.every_nth(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 12).orderBy("c_custkey")
 
 
-@query("""WITH q AS (SELECT c_custkey AS query_id, c_nationkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 50 = 0),
+@query("""WITH q AS (SELECT c_custkey AS query_id, c_nationkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 20 = 0),
     s AS (SELECT query_id, c.c_custkey % 10 AS entity, c.c_custkey AS record, abs(c.c_acctbal - q.c_acctbal) AS gap FROM q JOIN customer c USING (c_nationkey, c_mktsegment) WHERE c.c_custkey <> query_id),
     b AS (SELECT query_id, entity, min((gap, record)) AS m FROM s GROUP BY 1, 2)
     SELECT query_id, entity, m[2] AS record, round(m[1], 6) AS gap, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m[1], entity) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m[1], entity) <= 8""")
 def best_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set probes blocks; the best record of each entity, eight entities a query."""
     c = table(spark, sf_dir, "customer")
-    q = c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("wanted"))
+    q = c.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("wanted"))
     seen = c.join(q, ["c_nationkey", "c_mktsegment"]).where("c_custkey <> query_id").withColumn("gap", F.abs(F.col("c_acctbal") - F.col("wanted")))
     best = seen.groupBy("query_id", (F.col("c_custkey") % 10).alias("entity")).agg(F.min(F.struct("gap", "c_custkey")).alias("m"))
     order = Window.partitionBy("query_id").orderBy("m.gap", "entity")
@@ -410,12 +410,18 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.cluster_sizes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("entity_id")))
 
 
+@query(f"""WITH {B.FEATURES_SQL} SELECT (SELECT count(*) FROM orders) AS n_records, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_entities, (SELECT count(*) FROM features WHERE coalesce(is_filer, 0) = 0) AS n_non_filers""")
+def population_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of their customers."""
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("entity_id"))
+    return resolve.population_counts(records, B.customer_features(spark, sf_dir))
+
+
 @query()
 def audit_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of every customer (texts; unit tests hold the formats)."""
     rows = X.engineer(B.customer_features(spark, sf_dir))
-    for r in scoring.RATIOS:
-        rows = ranking.percent_rank_average(spark, rows, r, f"_p_{r}")
+    rows = ranking.percent_rank_columns(spark, rows, {r: f"_p_{r}" for r in scoring.RATIOS})
     return rows.select("entity_id", X.audit_trail({r: F.col(f"_p_{r}") for r in scoring.RATIOS}).alias("reasons"))
 
 
@@ -430,19 +436,21 @@ def deviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th customer scored again on the frozen bundle, read back from the shared folder."""
+    """Every customer scored again on the frozen bundle, read back from the shared folder."""
     features = materialise(spark, B.customer_features(spark, sf_dir), "features")
     _, bundle = scoring.score(spark, features)
     path = f"{shared_dir(spark)}/quillspan-bundle-{uuid.uuid4().hex[:12]}"
     bundle.save(spark, path)
-    people = features.where("entity_id % 50 = 0").withColumnRenamed("entity_id", "person").select("person", *X.DEFAULTS)
-    return scoring.score_people(people, scoring.Bundle.load(spark, path))
+    people = features.withColumnRenamed("entity_id", "person").select("person", *X.DEFAULTS)
+    return scoring.score_people(spark, people, scoring.Bundle.load(spark, path))
 
 
 @query()
 def resolved_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1, S12, J1-J4, M1, M2, Q1-Q7, G1-G4, W5, W6 end to end: a generated population resolved to entities, with its scorecard."""
-    tables, links, _ = synth.registries(materialise(spark, synth.population(spark, 400), "population"))
+    """S1, S12, J1-J4, M1, M2, Q1-Q7, G1-G4, W5, W6 end to end: as many generated people as there are customers, resolved to
+    entities, with the scorecard."""
+    people = table(spark, sf_dir, "customer").count()
+    tables, links, _ = synth.registries(materialise(spark, synth.population(spark, people), "population"))
     held = {k: materialise(spark, v, k) for k, v in tables.items()}
     records = materialise(spark, R.unified(held), "records")
     mentions, _ = resolve.resolve(spark, records)
@@ -473,12 +481,11 @@ def address_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", P.band_address(F.col("x"), F.col("y"), F.col("area")).alias("band"))
 
 
-@query("WITH q AS (SELECT c_custkey AS query_id, c_acctbal AS x FROM customer WHERE c_custkey % 50 = 0) SELECT query_id, round(avg(CASE WHEN c_acctbal <= x THEN 1.0 ELSE 0.0 END), 9) AS share FROM q, customer GROUP BY 1")
+@query("SELECT c_custkey AS query_id, round(count(*) OVER (ORDER BY c_acctbal RANGE UNBOUNDED PRECEDING) / count(*) OVER (), 9) AS share FROM customer")
 def population_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For a stated query set, the share of the population at most as large, from cumulative counts."""
-    c = table(spark, sf_dir, "customer")
-    counts = ranking.numbered_values(spark, c, "c_acctbal").select("c_acctbal", F.round((F.col("before") + F.col("n")) / F.col("total"), 9).alias("share"))
-    return c.where("c_custkey % 50 = 0").join(counts, "c_acctbal").select(F.col("c_custkey").alias("query_id"), "share")
+    """For every customer, the share of the population at most as large, from cumulative counts."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), "c_acctbal")
+    return ranking.shares_at_most(spark, c, c, {"c_acctbal": "share"}).select("query_id", F.round("share", 9).alias("share"))
 
 
 _PART_TOKENS = "list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '')"

@@ -57,8 +57,20 @@ def read_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def tolerant_read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: an intermediate table, or an empty one where it is absent."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """S3: an intermediate table, or an empty one where it is absent, has no bytes, or no rows. Files that end in ``.csv``
+    are read by their header, with or without a byte order mark, every field as text; columns they lack are null."""
+    if not exists(spark, path) or not _bytes(spark, path):
+        return spark.createDataFrame([], schema)
+    if not path.endswith(".csv"):
+        return spark.read.schema(schema).parquet(path)
+    found = spark.read.csv(path, header=True, encoding="UTF-8")
+    names = {c.removeprefix("\ufeff").strip(): c for c in found.columns}
+    return found.select(*[(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
 def unified(registries: dict[str, DataFrame]) -> DataFrame:
@@ -112,6 +124,7 @@ def append_decision(spark: SparkSession, path: str, record_a: str, record_b: str
 
 
 def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
-    """K1-K3: a stage's output under its own path; no stage overwrites what it reads."""
-    writer = df.write.mode("overwrite")
+    """K1-K3: a stage's output under its own path; no stage overwrites what it reads. CSV files carry a byte order mark."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if csv else df
+    writer = marked.write.mode("overwrite")
     writer.csv(path, header=True) if csv else writer.parquet(path)

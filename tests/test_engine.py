@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import income as X
-from quillspan.operators import audit, evaluate, forest, live, ranking, scoring, synth
+from quillspan.operators import audit, evaluate, forest, live, ranking, resolve, scoring, synth
 from quillspan.operators.components import connected_components
 from quillspan.plans import pipeline
 from quillspan.sources import registries as R
@@ -83,7 +83,7 @@ def test_single_scores(spark, built):
     base = {"max_vehicle_cc": 3000.0, "total_vehicle_value": 25e6, "total_property_value": 60e6, "max_monthly_bill": 400e3, "intl_trips": 6.0}
     people = [{"person": "evader", **base, "declared_income": 0.0}, {"person": "compliant", **base, "declared_income": 40e6}, {"person": "linked", "declared_income": 0.0, "network_nonfiler_asset_value": 80e6, "network_neighbor_count": 3.0}, {"person": "alone", "declared_income": 0.0}, {"person": "extreme", **{k: 1e12 for k in base}, "declared_income": 0.0}]
     df = spark.createDataFrame([{**X.DEFAULTS, **p} for p in people])
-    rows = {r["person"]: r for r in scoring.score_people(df, out["bundle"]).collect()}
+    rows = {r["person"]: r for r in scoring.score_people(spark, df, out["bundle"]).collect()}
     assert rows["evader"]["deviation_score"] >= 60
     assert rows["evader"]["deviation_score"] - rows["compliant"]["deviation_score"] >= 30
     assert rows["linked"]["deviation_score"] > rows["alone"]["deviation_score"]
@@ -91,10 +91,10 @@ def test_single_scores(spark, built):
     assert rows["evader"]["audit_trail"][0] == X.NO_RETURN_REASON
 
 
-def test_batch_and_single_scores_agree(built):
+def test_batch_and_single_scores_agree(spark, built):
     _, out = built
     some = ranking.every_nth(out["features"], "entity_id", 12)
-    again = scoring.score_people(some.withColumnRenamed("entity_id", "person").select("person", *X.DEFAULTS), out["bundle"]).select(F.col("person").alias("entity_id"), F.col("deviation_score").alias("again"))
+    again = scoring.score_people(spark, some.withColumnRenamed("entity_id", "person").select("person", *X.DEFAULTS), out["bundle"]).select(F.col("person").alias("entity_id"), F.col("deviation_score").alias("again"))
     gaps = out["scores"].join(again, "entity_id").select(F.abs(F.col("deviation_score") - F.col("again")).alias("d")).toPandas()["d"]
     assert len(gaps) == 12
     # A filer who declared nothing is a filer in the batch, and by the same rule a filer here.
@@ -189,3 +189,47 @@ def test_feedback_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.table("labels_seen").collect()] == [("same", 2)]
     finally:
         query.stop()
+
+
+def test_shares_and_ranks_against_counting(spark):
+    population = [3.0, 1.0, 1.0, None, 7.0, 1.0, 0.0]
+    wanted = [-1.0, 0.0, 1.0, 2.0, 7.0, 9.0, None, 1.0]
+    held = [x for x in population if x is not None]
+    people = spark.createDataFrame([(k, x, x) for k, x in enumerate(wanted)], "k int, x double, name double")
+    many = spark.createDataFrame([(x, x) for x in population], "x double, name double")
+    rows = {r["k"]: r for r in ranking.shares_at_most(spark, many, people, {"x": "s", "name": "t"}).collect()}
+    assert len(rows) == len(wanted)
+    for k, x in enumerate(wanted):
+        share = None if x is None else sum(v <= x for v in held) / len(held)
+        assert rows[k]["s"] == rows[k]["t"] == (None if share is None else pytest.approx(share))
+    none = ranking.shares_at_most(spark, many.where("false"), people, {"x": "s"})
+    assert [r["s"] for r in none.collect()] == [None] * len(wanted)
+    ranks = {r["x"]: r["r"] for r in ranking.percent_rank_columns(spark, many, {"x": "r", "name": "q"}).collect()}
+    assert ranks == {None: None, **{v: pytest.approx((sum(w < v for w in held) + (held.count(v) + 1) / 2) / len(held)) for v in held}}
+
+
+def test_tolerant_reads_and_marked_files(spark, tmp_path):
+    schema = "a string, b string, c long"
+    schema = spark.createDataFrame([], schema).schema
+    folder = f"file://{tmp_path}"
+    (tmp_path / "zero.csv").write_bytes(b"")
+    (tmp_path / "head.csv").write_text("a,b\n")
+    (tmp_path / "some.csv").write_text("﻿a,b\n1,x\n,y\n", encoding="utf-8")
+    for name in ("absent.csv", "absent.parquet", "zero.csv", "head.csv"):
+        empty = R.tolerant_read(spark, f"{folder}/{name}", schema)
+        assert empty.columns == ["a", "b", "c"]
+        assert empty.count() == 0
+    assert [tuple(r) for r in R.tolerant_read(spark, f"{folder}/some.csv", schema).collect()] == [("1", "x", None), (None, "y", None)]
+    R.write_table(spark.createDataFrame([("1", "x")], "a string, b string").coalesce(1), f"{folder}/out.csv", csv=True)
+    (part,) = (tmp_path / "out.csv").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b")
+    assert [tuple(r) for r in R.tolerant_read(spark, f"{folder}/out.csv", schema).collect()] == [("1", "x", None)]
+
+
+def test_population_counts_and_views(spark, built):
+    _, out = built
+    row = resolve.population_counts(out["mentions"], out["features"]).first()
+    assert row["n_records"] == out["records"].count()
+    assert row["n_entities"] == out["features"].count()
+    assert row["n_non_filers"] == out["features"].where("NOT coalesce(cast(is_filer AS boolean), false)").count()
+    assert spark.sql("SELECT count(*) AS n FROM quillspan_scores").first()["n"] == out["scores"].count()
