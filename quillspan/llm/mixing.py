@@ -5,15 +5,15 @@ are raked in turn to the target shares of each of the three marginals, ``SWEEPS`
 within ``RESIDUAL`` of its target (or ``MOST_SWEEPS`` are done: contradictory targets have no solution; ``margins`` shows
 what is left). Targets are tables ``margin, target``; without them a target share is the present share raised to an
 exponent below 1 and normalised, which lifts small groups. Groups without a target keep their tokens. A cell's weight is its
-raked tokens over its tokens. A document is kept with probability ``min(1, rate * weight)``; the rate is chosen so that the
-expected tokens are ``BUDGET`` of all. The draw is a digest of the id, so a rerun keeps the same rows.
+raked tokens over its tokens. Probabilities start at ``min(1, rate * weight)``, where the rate makes the expected tokens
+``BUDGET`` of all. The draw is a digest of the id, so a rerun keeps the same rows.
 
 Up to ``FEW_CELLS`` cells (counted) are raked in one partition, where a sweep is window sums without a shuffle; more stay
 distributed, where each sum is an exchange.
 
-A cell at probability 1 falls short of its raked tokens, so these probabilities miss the targets where cells are scarce.
-``calibrate`` rakes the probabilities themselves: the shortfall goes to the free cells of the same groups, and a group whose
-target exceeds its tokens is kept whole, its excess shared by the others in proportion to their targets. ``sample`` does so.
+A cell at probability 1 falls short of its raked tokens, which would miss the targets where cells are scarce. So the
+probabilities are raked themselves, ``BOUND_SWEEPS`` times: the shortfall goes to the free cells of the same groups, and a
+group whose target exceeds its tokens is kept whole, its excess shared by the others in proportion to their targets.
 
 Tokens are counted as quarters of UTF-8 bytes, rounded up. The topic is a class of layout read from the whole text.
 
@@ -39,6 +39,8 @@ AT_ONCE = 4
 RATE_ROUNDS = 6
 #: Sweeps over the probabilities, which the bound of 1 slows down.
 BOUND_SWEEPS = 16
+#: A chance from which a cell counts as whole, so that rounding does not decide it.
+WHOLE = 1 - 1e-9
 #: Cells that are raked in one partition and may be broadcast to the documents; beyond it both shuffle.
 FEW_CELLS = 100_000
 #: Topic, character and the least share of it in a text, in order of precedence.
@@ -148,13 +150,14 @@ def bound(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame],
     for done in range(sweeps):
         now = together(materialise(spark, now, "bound") if done else now)
         for margin in masses:
-            full, free = F.when(F.col("chance") >= 1, F.col("tokens")).otherwise(0), F.when(F.col("chance") < 1, F.col("chance") * F.col("tokens")).otherwise(0.0)
+            whole = F.col("chance") >= WHOLE
+            full, free = F.when(whole, F.col("tokens")).otherwise(0), F.when(~whole, F.col("chance") * F.col("tokens")).otherwise(0.0)
             now = now.select(*names, _sum_of(full, margin).alias("full"), _sum_of(free, margin).alias("free"))
             mass = F.col(f"mass_{margin}")
             left = mass - F.col("full")
             scale = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(left < 0, mass / (F.col("full") + F.col("free"))).otherwise(1.0)
             # Chances above 1 count as 1 when their group has too much, or they would stay above it.
-            held = F.when(left < 0, F.least(F.lit(1.0), "chance") * scale).when(F.col("chance") >= 1, F.col("chance")).otherwise(F.col("chance") * scale)
+            held = F.when(left < 0, F.least(F.lit(1.0), "chance") * scale).when(whole, F.col("chance")).otherwise(F.col("chance") * scale)
             now = now.withColumn("chance", F.coalesce(F.when(mass.isNotNull(), held), "chance")).select(*names)
     return materialise(spark, now, "bound").drop(*[f"mass_{m}" for m in masses])
 
@@ -164,15 +167,14 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, keep: bool = False, calibrate: bool = False) -> DataFrame:
+def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, keep: bool = False) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, weight, probability, kept`` of every row (and ``doc``, if ``keep``)."""
     cells = measured(docs, id_col, text_col).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialise(spark, cells, "cells")
     found = targets or {m: materialise(spark, tempered(cells, m, e), f"target-{m}") for m, e in MARGINS.items()}
     raked = rake(spark, cells, found)
     weighed = materialise(spark, raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)), "weights")
-    rate = rate_of(weighed, budget)
-    chance = bound(spark, weighed, found, rate, budget) if calibrate else weighed.withColumn("chance", F.col("weight") * rate)
+    chance = bound(spark, weighed, found, rate_of(weighed, budget), budget)
     small = sized_broadcast(chance.select(*MARGINS, "weight", "chance"), FEW_CELLS)
     rows = measured(docs, id_col, text_col, keep).join(small, list(MARGINS))
     rows = rows.withColumn("probability", F.least(F.lit(1.0), "chance")).drop("chance")
@@ -181,11 +183,17 @@ def weigh(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 def sample(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``."""
-    return weigh(spark, docs, keep=True, calibrate=True).where("kept = 1").select("doc.*")
+    return weigh(spark, docs, keep=True).where("kept = 1").select("doc.*")
 
 
 def oracle() -> str:
     """The same in DuckDB SQL, sweeps and rounds written out."""
+
+    def rates(cells: str, name: str) -> list[str]:
+        fit = f"greatest({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * rate >= 1), 0), 0) / sum(tokens * weight) FILTER (weight * rate < 1)"
+        first = f"{name}0 AS MATERIALIZED (SELECT CAST({BUDGET} AS DOUBLE) AS rate)"
+        return [first, *[f"{name}{k + 1} AS MATERIALIZED (SELECT coalesce({fit}, any_value(rate)) AS rate FROM {cells}, {name}{k})" for k in range(RATE_ROUNDS)]]
+
     layout = " ".join(f"WHEN length(t) - length(replace(t, '{mark}', '')) > {share} * length(t) THEN '{name}'" for name, mark, share in LAYOUTS)
     dims = ", ".join(MARGINS)
     steps = [
@@ -205,8 +213,18 @@ def oracle() -> str:
             steps.append(f"{name} AS MATERIALIZED (SELECT {others}, x.tokens, x.raked * coalesce(g.target * (SELECT t FROM a) / s.own, 1) AS raked FROM {last} x LEFT JOIN g_{margin} g USING ({margin}) LEFT JOIN (SELECT {margin}, sum(raked) AS own FROM {last} GROUP BY 1) s USING ({margin}))")
             last = name
     steps.append(f"w AS MATERIALIZED (SELECT {dims}, tokens, CASE WHEN tokens > 0 THEN raked / tokens ELSE 1 END AS weight FROM {last})")
-    steps.append(f"q0 AS MATERIALIZED (SELECT CAST({BUDGET} AS DOUBLE) AS rate)")
-    for k in range(RATE_ROUNDS):
-        steps.append(f"q{k + 1} AS MATERIALIZED (SELECT greatest({BUDGET} * sum(tokens) - coalesce(sum(tokens) FILTER (weight * rate >= 1), 0), 0) / sum(tokens * weight) FILTER (weight * rate < 1) AS rate FROM w, q{k})")
-    p = f"least(1.0, weight * (SELECT rate FROM q{RATE_ROUNDS}))"
-    return f"WITH {', '.join(steps)} SELECT doc_id, topic, n_tokens, round(weight, 6) AS weight, round({p}, 6) AS probability, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < {p} AS INTEGER) AS kept FROM m JOIN w USING ({dims})"
+    steps += rates("w", "q")
+    for margin in MARGINS:
+        steps.append(f"h_{margin} AS MATERIALIZED (SELECT {margin}, sum(tokens) AS tokens, any_value(target) * (SELECT t FROM a) / sum(tokens) AS weight FROM w JOIN g_{margin} USING ({margin}) GROUP BY 1 HAVING sum(tokens) > 0)")
+        steps += rates(f"h_{margin}", f"q_{margin}_")
+        steps.append(f"m_{margin} AS MATERIALIZED (SELECT {margin}, tokens * least(1, weight * (SELECT rate FROM q_{margin}_{RATE_ROUNDS})) AS mass FROM h_{margin})")
+    steps.append(f"b AS MATERIALIZED (SELECT {dims}, tokens, weight, weight * rate AS chance FROM w, q{RATE_ROUNDS})")
+    last = "b"
+    for k in range(BOUND_SWEEPS):
+        for margin in MARGINS:
+            name = f"b{k}_{margin}"
+            sums = f"SELECT {margin}, coalesce(sum(tokens) FILTER (chance >= {WHOLE!r}), 0) AS whole, coalesce(sum(tokens * chance) FILTER (chance < {WHOLE!r}), 0) AS free FROM {last} GROUP BY 1"
+            scaled = f"CASE WHEN mass < whole THEN least(1, chance) * mass / (whole + free) WHEN chance < {WHOLE!r} AND mass > whole AND free > 0 THEN chance * (mass - whole) / free ELSE chance END"
+            steps.append(f"{name} AS MATERIALIZED (SELECT {dims}, tokens, weight, {scaled} AS chance FROM {last} LEFT JOIN m_{margin} USING ({margin}) LEFT JOIN ({sums}) USING ({margin}))")
+            last = name
+    return f"WITH {', '.join(steps)} SELECT doc_id, topic, n_tokens, round(weight, 6) AS weight, round(least(1.0, chance), 6) AS probability, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, chance) AS INTEGER) AS kept FROM m JOIN {last} USING ({dims})"

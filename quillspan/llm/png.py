@@ -5,6 +5,9 @@ image row for each 192 bytes. Rows that mostly repeat the row above are filtered
 are left as they are (type 0); the stream goes through zlib into checksummed chunks. Reading tests every
 chunk's checksum and length, inflates, undoes all five filter types with numpy and checks the size.
 
+The images are written to a table with a binary column in the shared folder; every value but ``n_bytes`` comes from the
+bytes of that column, in a second pass that sees no text.
+
 The feature is a perceptual hash: grey levels averaged to 32 x 32, a cosine transform, the 8 x 8 lowest frequencies,
 one bit for each coefficient above their median, as 16 hexadecimal digits.
 
@@ -31,6 +34,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a pixel by colour type, at 8 bits a sample.
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 SIDE, LOW = 32, 8
+BATCH_BYTES = 32 << 20
 
 _angle = np.pi / SIDE * np.outer(np.arange(LOW), np.arange(SIDE) + 0.5)
 _COSINES = np.cos(_angle) * np.where(np.arange(LOW) == 0, np.sqrt(1 / SIDE), np.sqrt(2 / SIDE))[:, None]
@@ -164,26 +168,50 @@ def cosine_hash(samples: np.ndarray, channels: int) -> str:
     return format(int.from_bytes(np.packbits(bits).tobytes(), "big"), "016x")
 
 
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+STORED = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary()}
+VALUES = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
 @tidy
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Store each text as an image, then read the stored bytes back for every value but ``n_bytes``."""
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The image of each text; a batch ends at ``BATCH_BYTES``, as a binary column holds 2 GiB at most."""
     for batch in batches:
-        out = []
-        for text in batch.column("text").cast(pa.large_binary()):
+        rows, held = [], 0
+        for key, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary()), strict=True):
             plain = text.as_py() or b""
-            stored = write_png(np.frombuffer(pad(plain), np.uint8).reshape(-1, ROW_BYTES))
-            samples, channels = read_png(stored)
-            payload = samples.tobytes()
-            out.append((len(plain), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples, channels), stored))
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *NAMES])
+            image = write_png(np.frombuffer(pad(plain), np.uint8).reshape(-1, ROW_BYTES))
+            rows.append((key.as_py(), len(plain), image))
+            held += len(image)
+            if held >= BATCH_BYTES:
+                yield _batch(rows, STORED)
+                rows, held = [], 0
+        yield _batch(rows, STORED)
 
 
-NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+@tidy
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the stored bytes hold, with every check of the format."""
+    for batch in batches:
+        rows = []
+        for key, size, image in zip(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), strict=True):
+            stored = image.as_py()
+            samples, channels = read_png(stored)
+            payload = samples.tobytes()
+            rows.append((key.as_py(), size.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples, channels)))
+        yield _batch(rows, VALUES)
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the digests and the stored image (binary column ``media``) of every row."""
+    """``doc_id, n_bytes, media``: the image of every row, in a binary column."""
     taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return taken.mapInArrow(_rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return taken.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+
+
+def media_values(stored: DataFrame) -> DataFrame:
+    """Digests and the cosine-transform hash of every image of a media table."""
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import ann, bpe, mixing, near_dup, pii, png, quality, repeats, toxicity, warc
-from quillspan.sources.shared import table
+from quillspan.sources.shared import materialise, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an image in a binary column: digests of what is read back, and the image's hash."""
-    return png.media_table(table(spark, sf_dir, "documents")).drop("media")
+    """Every document as an image in a binary column of a table: digests of what is read back from it, and the image's hash."""
+    return png.media_values(materialise(spark, png.media_table(table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,17 +49,11 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raked weight, inclusion probability and draw of every document."""
+    """Raked weight, calibrated inclusion probability and draw of every document."""
     rows = mixing.weigh(spark, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def op8_mixing_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with probabilities raked to the targets under the bound of 1, as the pipeline samples."""
-    rows = mixing.weigh(spark, table(spark, sf_dir, "documents"), calibrate=True)
-    return rows.select("doc_id", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
-
-
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, with its fold."""
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -79,7 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest": op6_nearest,
     "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
-    "op8_mixing_calibrated": op8_mixing_calibrated,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
 }

@@ -112,14 +112,29 @@ def test_broken_images():
 
 
 def test_media_rows(spark, edges):
-    for r in png.media_table(edges).join(edges.select("doc_id", "text").distinct(), "doc_id").collect():
+    stored = png.media_table(edges)
+    assert stored.columns == ["doc_id", "n_bytes", "media"]
+    images = {r["media"] for r in stored.collect()}
+    assert len(images) == len({r["text"] or "" for r in edges.select("text").collect()})
+    by_digest = {hashlib.sha256(x).hexdigest(): x for x in images}
+    for r in png.media_values(stored).join(edges.select("doc_id", "text").distinct(), "doc_id").collect():
         payload = png.pad((r["text"] or "").encode())
         assert (r["n_bytes"], r["payload_bytes"]) == (len((r["text"] or "").encode()), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
-    assert png.media_table(edges).count() == edges.count()
-    assert png.media_table(edges.limit(0)).count() == 0
+        assert png.read_png(by_digest[r["media_sha256"]])[0].tobytes() == payload
+        assert r["media_bytes"] == len(by_digest[r["media_sha256"]])
+    assert png.media_values(stored).count() == edges.count()
+    assert png.media_values(png.media_table(edges.limit(0))).count() == 0
+
+
+def test_media_batches_end_at_their_bytes(spark, edges, monkeypatch):
+    monkeypatch.setattr(png, "BATCH_BYTES", 100)
+    batch = edges.select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    parts = list(png._store(iter([batch])))
+    assert len(parts) > 3
+    assert sum(len(p) for p in parts) == len(batch)
+    assert sum(len(p) for p in png._read(iter(parts))) == len(batch)
 
 
 # Operator 4
@@ -331,7 +346,7 @@ def test_sample_meets_reachable_margins(spark):
     """Expected kept tokens of each group: the target, or all of a group that has less, the rest shared by the others."""
     sizes = {("a", "en", "x"): 600, ("a", "es", "x"): 150, ("b", "en", "x"): 130, ("b", "es", "x"): 60, ("c", "en", "x"): 12, ("c", "es", "|"): 8, ("a", "en", "|"): 40}
     docs = spark.createDataFrame([(k, s, l, t * 40) for k, (s, l, t) in enumerate(c for c, n in sizes.items() for _ in range(n))], "doc_id long, source string, lang string, text string")
-    rows = mixing.weigh(spark, docs, keep=True, calibrate=True).toPandas()
+    rows = mixing.weigh(spark, docs, keep=True).toPandas()
     assert rows["probability"].between(0, 1).all()
     for margin, exponent in mixing.MARGINS.items():
         own = rows.groupby(margin)["n_tokens"].sum()
