@@ -148,7 +148,8 @@ def bound(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame],
     now = _with_targets(cells.withColumn("chance", F.col("weight") * rate), masses, "mass")
     names = now.columns
     for done in range(sweeps):
-        now = together(materialise(spark, now, "bound") if done else now)
+        if done % AT_ONCE == 0:
+            now = together(materialise(spark, now, "bound") if done else now)
         for margin in masses:
             whole = F.col("chance") >= WHOLE
             full, free = F.when(whole, F.col("tokens")).otherwise(0), F.when(~whole, F.col("chance") * F.col("tokens")).otherwise(0.0)
