@@ -25,16 +25,18 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1-A9 with the engine's own network operator: household members are customers of one nation and key class."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
-    by_order = orders.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count("*").cast("double").alias("n_vehicles"), money(F.sum("o_totalprice")).alias("total_vehicle_value"), F.floor(F.max("o_totalprice") / 200).cast("double").alias("max_vehicle_cc"), F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0)).alias("intl_trips"))
-    by_line = orders.select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count("*").cast("double").alias("n_properties"), money(F.sum("l_extendedprice")).alias("total_property_value"), money(F.max("l_extendedprice")).alias("max_monthly_bill"))
-    last = orders.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.max_by("o_totalprice", "o_orderkey").alias("last_price"))
+    # Lines are summed to their orders before they move, and orders to their customers in one aggregate.
+    price, total = F.col("l_extendedprice"), F.col("o_totalprice")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum(price).alias("worth"), F.max(price).alias("most"))
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0)
+    each = orders.select("o_orderkey", F.col("o_custkey").alias("entity_id"), "o_totalprice", urgent.alias("urgent")).join(lines, "o_orderkey", "left")
+    of_orders = [F.count("*").cast("double").alias("n_vehicles"), money(F.sum(total)).alias("total_vehicle_value"), F.floor(F.max(total) / 200).cast("double").alias("max_vehicle_cc"), F.sum("urgent").alias("intl_trips"), F.max_by("o_totalprice", "o_orderkey").alias("last_price")]
+    of_lines = [F.sum("lines").cast("double").alias("n_properties"), money(F.sum("worth")).alias("total_property_value"), money(F.max("most")).alias("max_monthly_bill")]
+    summed = each.groupBy("entity_id").agg(*of_orders, *of_lines)
     declared = F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 1000
     own = customer.select(F.col("c_custkey").alias("entity_id"), declared.alias("declared_income"), (F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 20).alias("tax_paid"), F.when(F.col("c_acctbal") >= 0, 1.0).otherwise(0.0).alias("is_filer"))
-    for part in (by_order, by_line, last):
-        own = own.join(part, "entity_id", "left")
-    own = own.na.fill(0.0)
-    out = graph.network_features(own, graph.co_members(homes(spark, sf_dir)))
+    own = own.join(summed, "entity_id", "left").na.fill(0.0)
+    out = graph.household_features(own, homes(spark, sf_dir))
     return out.withColumn("network_asset_value", money(F.col("network_asset_value"))).withColumn("network_nonfiler_asset_value", money(F.col("network_nonfiler_asset_value")))
 
 

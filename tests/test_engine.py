@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import income as X
-from quillspan.operators import audit, evaluate, forest, live, ranking, resolve, scoring, synth
+from quillspan.operators import audit, evaluate, forest, graph, live, ranking, resolve, scoring, synth
 from quillspan.operators.components import connected_components
 from quillspan.plans import pipeline
 from quillspan.sources import registries as R
@@ -233,3 +233,12 @@ def test_population_counts_and_views(spark, built):
     assert row["n_entities"] == out["features"].count()
     assert row["n_non_filers"] == out["features"].where("NOT coalesce(cast(is_filer AS boolean), false)").count()
     assert spark.sql("SELECT count(*) AS n FROM quillspan_scores").first()["n"] == out["scores"].count()
+
+
+def test_household_sums_against_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(rng.integers(0, 1000)), float(rng.integers(0, 1000)), float(k % 2), float(rng.integers(0, 1_200_000))) for k in range(60)]
+    own = spark.createDataFrame([*rows, rows[0]], "entity_id int, total_property_value double, total_vehicle_value double, is_filer double, declared_income double")
+    homes = spark.createDataFrame([(k, None if k % 13 == 0 else k % 5) for k in range(70)] + [(1, 1)], "entity_id int, dst int")
+    wanted, found = (sorted(map(tuple, df.select(sorted(df.columns)).collect())) for df in (graph.network_features(own, graph.co_members(homes)), graph.household_features(own, homes)))
+    assert found == wanted
