@@ -44,3 +44,8 @@ def test_one_household_of_many(spark, tmp_path):
         k = r["entity_id"] // 40
         assert (r["network_neighbor_count"], r["n_properties"], r["total_property_value"], r["network_asset_value"]) == (n - 1, 2, paid[k], every - price[k] - paid[k])
     assert registry.QUERIES["key_figures"](spark, str(tmp_path)).first()["hubs"] == sum(1 for k in range(n) if k % 3)
+
+
+def test_audit_trails_read_tables_once(spark):
+    """What ranks and reasons are made from is stored, so the lines are not summed again for each of them."""
+    assert not [f for f in registry.QUERIES["audit_trails"](spark, FOLDER).inputFiles() if "lineitem" in f]
