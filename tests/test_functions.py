@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import income as X
 from quillspan.functions import normalize as N
 from quillspan.functions import similarity as P
+from quillspan.operators import linkage, synth
 from quillspan.operators.split import one_document, one_edit
+from quillspan.sources import registries as R
 
 
 def one(spark, expression, **values):
@@ -112,3 +117,25 @@ def test_golden_implied_income(spark):
 
 def test_titles(spark):
     assert one(spark, X.title(F.lit("khan-ali o'neil"))) == "Khan-Ali O'Neil"
+
+
+def test_token_similarities_against_the_plain_form():
+    rng = random.Random(6)
+    words = ["imran", "emran", "khan", "khaan", "khn", "", "é", "𐐀b", "malik", "zubayr"]
+    lists = [[rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 3, 4, 9]))] if rng.random() < 0.95 else None for _ in range(4000)]
+    a, b = lists[::2], lists[1::2]
+    kind = pa.list_(pa.string())
+    found = P.token_similarities(pa.array(a, kind), pa.array(b, kind))
+    assert found.tolist() == [P.token_set_similarity(tuple(x or ()), tuple(y or ())) for x, y in zip(a, b, strict=True)]
+    assert P.token_similarities(pa.array([], kind), pa.array([], kind)).tolist() == []
+
+
+def test_comparing_takes_one_python_worker(spark):
+    """A filter on the decision must not run the similarities again: each copy is a worker more for each task."""
+    tables, _, _ = synth.registries(synth.population(spark, 20))
+    records = R.unified(tables)
+    pairs = records.select(F.col("record_id").alias("a")).crossJoin(records.select(F.col("record_id").alias("b")))
+    model = linkage.Model({"name_exact": 3.0}, 0.0)
+    scored = linkage.compare(pairs, records).withColumn("score", model.score(F.col("bands"))).withColumn("probability", model.posterior(F.col("score")))
+    plan = linkage.route(scored).where("decision <> 'drop'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
