@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import textvec as tv
 from quillspan.llm.memory import tidy
-from quillspan.sources.shared import materialise, sized_broadcast, text_or_empty
+from quillspan.sources.shared import among, discard, materialise, sized_broadcast, text_or_empty
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM
@@ -51,6 +51,8 @@ AT_ONCE = 4096
 HOT = 1024
 #: Keys (8 or 16 bytes each) that may be broadcast to filter rows; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
+#: Keys of texts that are broadcast as they are; more go as bits. Only texts that pass are shuffled.
+TEXT_KEYS = 50_000
 OUT = "doc_id long, key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Words of a passage that is marked wherever it repeats across documents, and of its anchor.
 PASSAGE, GRAM_WORDS = 51, 8
@@ -267,13 +269,17 @@ def shared_passages(spark: SparkSession, firsts: DataFrame, copies: DataFrame) -
     """``key`` of the different texts (``key, text``) that hold a run of ``PASSAGE`` words of another text, or any such run and
     stand in ``copies`` (``key``)."""
     rows = materialise(spark, firsts.mapInArrow(_word_anchors, "key binary, anchor long"), "word-anchors")
-    both = rows.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("anchor")
-    lists = rows.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    lists = sized_broadcast(materialise(spark, lists, "shared-anchors"), BROADCAST_KEYS // 10)
-    windows = materialise(spark, firsts.join(lists, "key").select("key", "text", "anchors").mapInArrow(_shared_windows, "key binary, window long"), "windows")
-    again = windows.groupBy("window").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("window")
+    # A text has a row for each of its anchors and windows. Repeated rows of one text (without ids, or of one id) count as two,
+    # but such a text stands in ``copies``, so it is marked below in any case.
+    both = rows.groupBy("anchor").count().where("count > 1").select("anchor")
+    lists = materialise(spark, rows.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    some = among(firsts, lists, "key", TEXT_KEYS, exact=False).join(sized_broadcast(lists, TEXT_KEYS), "key")
+    windows = materialise(spark, some.select("key", "text", "anchors").mapInArrow(_shared_windows, "key binary, window long"), "windows")
+    again = windows.groupBy("window").count().where("count > 1").select("window")
     twice = rows.join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_semi").select("key")
-    return materialise(spark, windows.join(again, "window").select("key").union(twice).distinct(), "passages")
+    out = materialise(spark, windows.join(again, "window").select("key").union(twice).distinct(), "passages")
+    discard(spark, rows, lists, windows)
+    return out
 
 
 def intervals(spark: SparkSession, contents: DataFrame) -> DataFrame:
@@ -340,7 +346,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     kinds = materialise(spark, rows.groupBy("anchor", "fragment").agg(F.count("*").alias("n")), "fragments")
     anchors_seen = materialise(spark, kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("anchor", "kinds"), "repeated")
     mixed = anchors_seen.where("kinds > 1").select("anchor")
-    varied = rows.join(sized_broadcast(mixed, BROADCAST_KEYS), "anchor", "left_semi").groupBy("anchor", "fragment").agg(F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("key", "place", "left", "size")).alias("at"))
+    varied = among(rows, mixed, "anchor", BROADCAST_KEYS).groupBy("anchor", "fragment").agg(F.min("near").alias("near"), F.min("far").alias("far"), F.min(F.struct("key", "place", "left", "size")).alias("at"))
     varied = materialise(spark, varied, "varied")
     # A repeated window holds HALF bytes on one side of its anchor at least, so its fragments share that side's hash.
     sides = varied.select("anchor", "fragment", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("near").alias("h")), F.struct(F.lit(1).alias("side"), F.col("far").alias("h")))).alias("x")).select("anchor", "fragment", "x.side", "x.h")
@@ -348,21 +354,24 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     alive = sides.join(shared, ["anchor", "side", "h"]).select("anchor", "fragment").distinct()
     wanted = varied.join(alive, ["anchor", "fragment"]).groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", "at.place", "at.left", "at.size")).alias("wanted"))
     wanted = materialise(spark, wanted, "wanted")
-    some = firsts.select("key", "text").join(sized_broadcast(wanted.select("key"), BROADCAST_KEYS), "key", "left_semi")
+    some = among(firsts.select("key", "text"), wanted, "key", TEXT_KEYS, exact=False)
     contents = some.join(wanted, "key").select("text", "wanted").mapInArrow(_contents, "anchor long, fragment long, left int, content binary")
     contents = materialise(spark, contents, "contents")
+    discard(spark, varied, wanted)
     found = intervals(spark, contents)
+    discard(spark, contents)
 
     # Places of texts that are not themselves copies; a copy is repeated as a whole.
-    single = rows.join(sized_broadcast(anchors_seen.select("anchor"), BROADCAST_KEYS), "anchor", "left_semi").join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_anti")
+    single = among(rows, anchors_seen, "anchor", BROADCAST_KEYS).join(sized_broadcast(copies, BROADCAST_KEYS), "key", "left_anti")
     parts = kinds.where("n > 1").select("anchor", "fragment", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop")).unionByName(found)
     begin, end = F.coalesce("start", -F.col("left")), F.coalesce("stop", F.col("size") - F.col("left"))
     spans = single.select("key", "place", "left", "size", "anchor", "fragment").join(parts, ["anchor", "fragment"]).select("key", (F.col("place") + begin).alias("s"), (F.col("place") + end).alias("e"))
     spans = materialise(spark, spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "removed")
+    discard(spark, rows, kinds, anchors_seen, found)
 
     # Only texts that lose a part meet their spans; all others need no more than their digest.
     sized = base.select("doc_id", "key", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    partly = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_semi").join(spans, "key").select("doc_id", "key", "text", "spans").mapInArrow(_kept, OUT)
+    partly = among(sized, spans, "key", TEXT_KEYS, exact=False).join(spans, "key").select("doc_id", "key", "text", "spans").mapInArrow(_kept, OUT)
     rest = sized.join(sized_broadcast(spans.select("key"), BROADCAST_KEYS), "key", "left_anti").select("doc_id", "key", "n_bytes", F.sha2("text", 256).alias("own"))
     rest = rest.join(sized_broadcast(copies.withColumn("whole", F.lit(True)), BROADCAST_KEYS), "key", "left")
     gone = F.coalesce("whole", F.lit(False))

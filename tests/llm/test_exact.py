@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 
 from quillspan.llm import bpe, mixing, pii, png, repeats, warc
 from quillspan.llm.queries import ORACLES, QUERIES
+from quillspan.sources.shared import among
 from tests.compare import oracle_rows, rows_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -309,6 +311,39 @@ def brute_passages(texts: list[str | None]) -> list[int]:
     return [int(any(held[r] > 1 for r in x)) for x in runs]
 
 
+def test_many_keys_go_as_bits_and_tables_are_deleted(spark, words, monkeypatch):
+    """Beyond the limits the result is the same, and nothing but what the result reads stays on disk."""
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(repeats, "TEXT_KEYS", 2)
+    made, write = {}, repeats.materialise
+
+    def noted(session, df, name):
+        made[name] = write(session, df, name)
+        return made[name]
+
+    monkeypatch.setattr(repeats, "materialise", noted)
+    passage = " ".join(words(150))
+    texts = [" ".join(words(60)) + passage[k:] + " ".join(words(50)) for k in range(8)] + [" ".join(words(200)) for _ in range(8)]
+    out = repeats.remove_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = [tuple(r)[1:5] for r in sorted(out.collect())]
+    assert found == brute_repeats([t.encode() for t in texts])
+    left = {name for name, df in made.items() if Path("/" + df._quillspan_path.removeprefix("file:").lstrip("/")).exists()}
+    assert {"passages", "copies", "removed"} <= left
+    assert not left & {"word-anchors", "shared-anchors", "windows", "anchors", "fragments", "varied", "wanted", "contents", "intervals"}
+
+
+def test_rows_without_a_key_are_not_shuffled(spark):
+    rows, keys = spark.range(20_000).withColumn("key", F.unhex(F.md5(F.col("id").cast("string")))), spark.range(0, 20_000, 7)
+    keys = keys.select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+    likely = among(rows, keys, "key", 10, exact=False)
+    assert likely.columns == rows.columns
+    assert likely.join(keys, "key").count() == keys.count()
+    assert likely.count() < 1.5 * keys.count()
+    for limit in (10, 10**6):
+        assert among(rows, keys, "key", limit).count() == keys.count()
+    assert among(rows, keys.limit(0), "key", 10).count() == 0
+
+
 def test_short_passages_are_marked(spark, words):
     """Passages of 50 words are not marked, of 51 are, with short words (under 400 bytes, so that nothing is removed) too."""
     texts = []
