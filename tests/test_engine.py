@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import inspect
 
 import numpy as np
@@ -13,6 +14,7 @@ from quillspan.operators import audit, evaluate, forest, graph, live, ranking, r
 from quillspan.operators.components import connected_components
 from quillspan.plans import pipeline
 from quillspan.sources import registries as R
+from quillspan.sources import shared
 
 PEOPLE = 700
 
@@ -258,3 +260,16 @@ def test_neighbour_means_against_pairs(spark):
         assert rows[k] == pytest.approx(sum(near) / len(near))
     many = spark.range(30_000).selectExpr("CAST(id AS INT) AS entity_id", "'one' AS dst", "CAST(id AS DOUBLE) AS x")
     assert relational.neighbour_means(many, many, ["x"], "_1").where("abs(x_1 - 14999.5) < 1e-6").count() == 30_000
+
+
+def test_driver_heap_is_collected_between_tables(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAP_SECONDS", 0.0)
+    monkeypatch.setattr(shared, "HEAP_SHARE", 1.0)
+    assert not shared.shrink_driver(spark)
+    monkeypatch.setattr(shared, "HEAP_SHARE", 0.0)
+    garbage = spark.sparkContext._jvm.java.lang.Object()
+    seen = spark.sparkContext._jvm.java.lang.ref.WeakReference(garbage)
+    del garbage
+    gc.collect()
+    assert shared.materialise(spark, spark.range(3), "three").count() == 3
+    assert seen.get() is None
