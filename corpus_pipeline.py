@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import bpe, mixing, near_dup, pii, quality
-from quillspan.sources.shared import materialise, ship, table
+from quillspan.sources.shared import materialise, ship, shrink_driver, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,6 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the documents that the quality classifier does not reject."""
     ship(spark)
+    shrink_driver(spark)  # this stage and the last one write no table of their own
     return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
@@ -41,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: token ids of every document that is left."""
     ship(spark)
+    shrink_driver(spark)
     return bpe.encode_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
 
 

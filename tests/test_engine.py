@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import inspect
+import re
 
 import numpy as np
 import pytest
@@ -273,3 +274,29 @@ def test_driver_heap_is_collected_between_tables(spark, monkeypatch):
     gc.collect()
     assert shared.materialise(spark, spark.range(3), "three").count() == 3
     assert seen.get() is None
+
+
+def test_driver_gives_back_what_is_free(spark, monkeypatch):
+    """Memory freed outside the heap is trimmed even where the heap is small; a collection leaves little of the heap free."""
+    monkeypatch.setattr(shared, "HEAP_SECONDS", 0.0)
+    monkeypatch.setattr(shared, "HEAP_SHARE", 1.0)
+    jvm = spark.sparkContext._jvm
+
+    def resident() -> float:
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as file:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", file.read())[1]) / 1024
+
+    shared.shrink_driver(spark)
+    held = [jvm.java.util.zip.Deflater() for _ in range(1200)]
+    for one in held[:-1]:
+        one.end()
+    before = resident()
+    assert not shared.shrink_driver(spark)
+    assert resident() < before - 50
+    monkeypatch.setattr(shared, "HEAP_SHARE", 0.0)
+    blocks = [spark.sparkContext._gateway.new_array(jvm.long, 6 << 20) for _ in range(40)]
+    del blocks[14:]
+    gc.collect()
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    assert shared.shrink_driver(spark)
+    assert runtime.totalMemory() < 2 * (runtime.totalMemory() - runtime.freeMemory())
